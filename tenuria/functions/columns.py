@@ -16,7 +16,7 @@ def col(c: Column | str) -> Column:
 
 def day(value) -> Column:
     """A date literal from a `datetime.date` or ISO string; columns pass through."""
-    return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
+    return value if isinstance(value, Column) else F.expr(f"DATE '{value}'")
 
 
 def mapped(key: Column | str, values: Mapping[str, object], default=None) -> Column:

@@ -30,7 +30,7 @@ def date_grid(start, end, step_days: int) -> list[dt.date]:
 
 
 def dates_array(dates: Sequence[dt.date]) -> Column:
-    return F.array(*[C.day(d) for d in dates])
+    return F.expr("array(" + ", ".join(f"DATE '{d}'" for d in dates) + ")")
 
 
 def expand_base(customers: DataFrame, dates) -> DataFrame:
