@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -106,12 +107,15 @@ def findings(df: DataFrame, features: Sequence[str], target: str, prediction_dat
         .where("f.severity IS NOT NULL")
         .select("f.*")
     )
-    # Name checks ride along as constants: the local relation has a few rows per feature.
     named = name_findings(present)
     if not named:
         return from_data
-    schema = "feature STRING, check_type STRING, passed BOOLEAN, message STRING, severity STRING"
-    return from_data.unionByName(df.sparkSession.createDataFrame(named, schema))
+    # Name checks are constants: a few rows per feature, built in the plan.
+    rows = F.from_json(
+        F.lit(json.dumps([dict(zip(FINDING, n, strict=True)) for n in named])),
+        "array<struct<feature string, check_type string, passed boolean, message string, severity string>>",
+    )
+    return from_data.unionByName(df.sparkSession.range(1).select(F.inline(rows)))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenuria import defaults as D
 from tenuria.functions import columns as C
-from tenuria.operators.ranking import Slots, first_k, mark_first_k, match, running_totals
+from tenuria.operators.ranking import TIE_DIGITS, Slots, mark_first_k, match, running_totals
 
 K_PCTS = (0.1, 0.2)
 
@@ -63,26 +63,24 @@ def _auc_roc() -> Column:
 
 
 def _average_precision() -> Column:
-    return F.sum(F.col("pos").cast("double") / F.col("total_pos") * (F.col("cum_pos") / F.col("cum_n")))
+    gained = F.col("pos").cast("double") / F.nullif("total_pos", F.lit(0))
+    return F.sum(gained * (F.col("cum_pos") / F.col("cum_n")))
+
+
+def _ranked_columns() -> dict[str, Column]:
+    """auc_roc and auc_pr as aggregates of running totals; 0 where a segment has one class."""
+    negatives = F.max("total_n") - F.max("total_pos")
+    two = (F.max("total_pos") > 0) & (negatives > 0)
+    pairs = F.max("total_pos").cast("double") * negatives
+    return {
+        "auc_roc": F.when(two, _auc_roc() / F.nullif(pairs, F.lit(0.0))).otherwise(F.lit(0.0)),
+        "auc_pr": F.when(two, _average_precision()).otherwise(F.lit(0.0)),
+    }
 
 
 def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), slots: Slots | None = None) -> DataFrame:
-    """auc_roc and auc_pr (average precision, step sum); 0 where a segment has one class."""
-    cum = cumulative(rows, by, slots)
-    guarded = cum.withColumn("total_pos", F.nullif("total_pos", F.lit(0)))
-    agg = guarded.groupBy(*by).agg(
-        _auc_roc().alias("_area"),
-        _average_precision().alias("_ap"),
-        F.max("total_pos").alias("_p"),
-        (F.max("total_n") - F.max("total_pos")).alias("_n"),
-    )
-    two = (F.col("_p") > 0) & (F.col("_n") > 0)
-    zero = F.lit(0.0)
-    return agg.select(
-        *by,
-        F.when(two, F.col("_area") / (F.col("_p").cast("double") * F.col("_n"))).otherwise(zero).alias("auc_roc"),
-        F.when(two, F.col("_ap")).otherwise(zero).alias("auc_pr"),
-    )
+    """auc_roc and auc_pr (average precision, step sum) per segment."""
+    return cumulative(rows, by, slots).groupBy(*by).agg(*[c.alias(n) for n, c in _ranked_columns().items()])
 
 
 def brier(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -99,52 +97,74 @@ def top_k(rows: DataFrame, by: Sequence[str], pct: float, key: str, slots: Slots
     return mark_first_k(rows, by, "score", key, k_of(pct), slots).where("taken").drop("taken")
 
 
-def precision_at(rows: DataFrame, by: Sequence[str] = (), pcts: Sequence[float] = K_PCTS, key: str = "customer_id",
-                 slots: Slots | None = None) -> DataFrame:
-    """precision_at_<p>pct and lift_at_<p>pct per segment; 0 when the cut is empty.
+def _label_share(rows: DataFrame, ranked: DataFrame, by: Sequence[str], pcts: Sequence[float], key: str) -> DataFrame:
+    """(by, precision_at_<p>pct ...): label share among the first k rows by (score, hash of key).
 
-    Positives above the crossing score come from the histogram; only the tied rows are ranked.
+    Positives above the crossing score come from `ranked`, the running totals. Of the rows tied at that
+    score only one hash bucket is sorted; the buckets before it are counted.
     """
-    out = rows.groupBy(*by).agg(F.avg(F.col("label").cast("double")).alias("_base"))
+    names = {float(p): f"precision_at_{round(p * 100)}pct" for p in pcts}
+    k = F.floor(F.col("total_n") * F.col("_pct"))
+    crossing = (
+        ranked.withColumn("_pct", F.explode(F.array(*[F.lit(p) for p in names])))
+        .withColumn("_k", k)
+        .where((F.col("cum_n") - F.col("n") < F.col("_k")) & (F.col("cum_n") >= F.col("_k")))
+        .select(*by, "_pct", "_k", "score", (F.col("_k") - F.col("cum_n") + F.col("n")).alias("_need"),
+                (F.col("cum_pos") - F.col("pos")).alias("_ahead"))
+    )
+    # One row per segment and share: segments are closed domains, which bounds the broadcast.
+    tied = match(rows.select(*by, "score", "label", F.col(key).alias("_key")), F.broadcast(crossing), [*by, "score"])
+    tied = tied.withColumn("_hash", C.tie_order("_key")).withColumn("_bucket", F.substring("_hash", 1, TIE_DIGITS))
+    group = [*by, "_pct"]
+    counts = tied.groupBy(*group, "_bucket").agg(
+        F.count("*").alias("_n"), F.sum("label").alias("_p"), *[F.first(c).alias(c) for c in ("_need", "_ahead", "_k")]
+    )
+    w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.withColumns({"_cum": F.sum("_n").over(w), "_cum_p": F.sum("_p").over(w)})
+    hit = at.where((F.col("_cum") - F.col("_n") < F.col("_need")) & (F.col("_cum") >= F.col("_need"))).select(
+        *group, "_bucket", "_k", (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_rest"),
+        (F.col("_ahead") + F.col("_cum_p") - F.col("_p")).alias("_before"),
+    )
+    inside = match(tied.select(*group, "_bucket", "_hash", "label"), F.broadcast(hit), [*group, "_bucket"])
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_hash"))
+    share = (F.max("_before") + F.sum("label")) / F.max("_k").cast("double")
+    per_share = inside.withColumn("_rank", rank).where("_rank <= _rest").groupBy(*group).agg(share.alias("_share"))
+    return per_share.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_pct") == p, F.col("_share"))).alias(n) for p, n in names.items()]
+    )
+
+
+def _with_precision(out: DataFrame, rows, ranked, by, pcts, key) -> DataFrame:
+    """Join precision@k to per-segment rows holding churn_rate; 0 when the cut is empty."""
+    out = match(out, _label_share(rows, ranked, by, pcts, key), by, "left")
     for pct in pcts:
         name = f"{round(pct * 100)}pct"
-        cut = first_k(rows, by, "score", key, k_of(pct), slots).select(
-            *by, F.col("score").alias("_cut_value"), F.col("_hash").alias("_cut_hash"),
-            (F.col("_before") + F.col("_need")).alias("_k"),
-        )
-        joined = match(rows.select(*by, "score", "label", key), F.broadcast(cut), by)
-        score, at = F.col("score"), F.col("_cut_value")
-        ahead = (score > at) | ((score == at) & (C.tie_order(key) <= F.col("_cut_hash")))
-        hits = joined.where(ahead).groupBy(*by).agg(
-            (F.sum("label") / F.max("_k").cast("double")).alias("_p")
-        )
-        out = match(out, hits, by, "left").withColumns(
-            {
-                f"precision_at_{name}": F.coalesce("_p", F.lit(0.0)),
-                f"lift_at_{name}": C.ratio(F.coalesce("_p", F.lit(0.0)), "_base"),
-            }
-        ).drop("_p")
-    return out.drop("_base")
+        p = F.coalesce(f"precision_at_{name}", F.lit(0.0))
+        out = out.withColumns({f"precision_at_{name}": p, f"lift_at_{name}": C.ratio(p, "churn_rate")})
+    return out
+
+
+def precision_at(rows: DataFrame, by: Sequence[str] = (), pcts: Sequence[float] = K_PCTS, key: str = "customer_id",
+                 slots: Slots | None = None) -> DataFrame:
+    """precision_at_<p>pct and lift_at_<p>pct per segment, with churn_rate."""
+    ranked = cumulative(rows, by, slots)
+    base = ranked.groupBy(*by).agg((F.max("total_pos") / F.max("total_n").cast("double")).alias("churn_rate"))
+    return _with_precision(base, rows, ranked, by, pcts, key)
 
 
 def evaluate(rows: DataFrame, by: Sequence[str] = (), threshold: float = 0.5, key: str = "customer_id",
              slots: Slots | None = None) -> DataFrame:
-    """All metrics, one row per segment, in one plan; add n_samples and churn_rate."""
-    basic = (
-        rows.groupBy(*by)
-        .agg(
-            F.count("*").alias("n_samples"),
-            F.avg(F.col("label").cast("double")).alias("churn_rate"),
-            F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"),
-            *[
-                F.count_if(((F.col("score") >= threshold) == F.lit(flagged)) & (F.col("label") == positive)).alias(n)
-                for n, flagged, positive in (("tp", True, 1), ("fp", True, 0), ("fn", False, 1), ("tn", False, 0))
-            ],
-        )
-        .withColumns(_rates())
+    """All metrics, one row per segment, in one plan over one histogram; add n_samples and churn_rate."""
+    ranked = cumulative(rows, by, slots)
+    pos, score = F.col("pos").cast("double"), F.col("score")
+    errors = pos * F.pow(score - 1, 2) + (F.col("n") - pos) * F.pow(score, 2)
+    out = ranked.groupBy(*by).agg(
+        F.max("total_n").alias("n_samples"),
+        (F.max("total_pos") / F.max("total_n").cast("double")).alias("churn_rate"),
+        (F.sum(errors) / F.max("total_n")).alias("brier"),
+        *[c.alias(n) for n, c in {**_counts(threshold), **_ranked_columns()}.items()],
     )
-    ranked = match(basic, ranking_metrics(rows, by, slots), by)
-    return match(ranked, precision_at(rows, by, K_PCTS, key, slots), by)
+    return _with_precision(out.withColumns(_rates()), rows, ranked, by, K_PCTS, key)
 
 
 def recall_window(rows: DataFrame, by: Sequence[str] = (), threshold: float = 0.5, window_days: int = 30) -> DataFrame:

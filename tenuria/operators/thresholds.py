@@ -147,26 +147,29 @@ def by_segment(rows: DataFrame, segment: str, choose=lowest_cost) -> DataFrame:
 def evaluation_report(rows: DataFrame, slots: Slots | None = None, key: str = "customer_id") -> DataFrame:
     """Long table (section, segment, metric, value): overall, per cohort and tier, f1 point, impact there."""
 
-    def long(df: DataFrame, section: str, segment=None) -> DataFrame:
-        names = [c for c in df.columns if c != segment]
-        wide = df.select(
-            F.lit(section).alias("section"),
-            (F.col(segment) if segment else F.lit("all")).alias("segment"),
-            *[F.col(c).cast("double").alias(c) for c in names],
+    def long(df: DataFrame, section: str | None = None) -> DataFrame:
+        keys = ["section", "segment"]
+        if section:
+            df = df.withColumns({"section": F.lit(section), "segment": F.lit("all")})
+        names = [c for c in df.columns if c not in keys]
+        return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
+            keys, names, "metric", "value"
         )
-        return wide.unpivot(["section", "segment"], names, "metric", "value")
 
+    # Every row counts once overall, once for its cohort and once for its tier.
+    views = F.array(
+        F.struct(F.lit("overall").alias("section"), F.lit("all").alias("segment")),
+        F.struct(F.lit("by_cohort").alias("section"), F.col("cohort").alias("segment")),
+        F.struct(F.lit("by_ltv_tier").alias("section"), F.col("ltv_tier").alias("segment")),
+    )
+    segmented = rows.select(key, "score", "label", F.explode(views).alias("v")).select(
+        key, "score", "label", "v.section", "v.segment"
+    )
     point = best_f1(rows, (), slots)
     flagged = match(rows, F.broadcast(point.select("threshold")), [])
     impact = metrics.business_impact(flagged, threshold=F.col("threshold"))
-    parts = [
-        long(metrics.evaluate(rows, (), key=key, slots=slots), "overall"),
-        long(metrics.evaluate(rows, ["cohort"], key=key, slots=slots), "by_cohort", "cohort"),
-        long(metrics.evaluate(rows, ["ltv_tier"], key=key, slots=slots), "by_ltv_tier", "ltv_tier"),
-        long(point, "threshold"),
-        long(impact, "business_impact"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return (
+        long(metrics.evaluate(segmented, ["section", "segment"], key=key, slots=slots))
+        .unionByName(long(point, "threshold"))
+        .unionByName(long(impact, "business_impact"))
+    )
