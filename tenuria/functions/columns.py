@@ -147,6 +147,19 @@ def trend_slope(values: Sequence[Column | str]) -> Column:
     return total / spread
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: correlation over pairs without NULL or NaN; NULL when a side is constant.
+
+    Built from moments because corr() divides by zero on a constant side under ANSI.
+    """
+    null = F.lit(None).cast("double")
+    a, b = F.nanvl(a.cast("double"), null), F.nanvl(b.cast("double"), null)
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y), None))
+
+
 # -- scores ------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenuria.functions import columns as C
+from tenuria.operators.ranking import match
 
 ELEMENT = "struct<feature:string,feature_value:double,contribution:double>"
 
@@ -23,11 +24,10 @@ def _value(name: str) -> Column:
 def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], keep: Sequence[str], decimals: int | None = None) -> DataFrame:
     """coefficient * (value - mean) per feature, exact for a linear model.
 
-    The means are one scalar subquery over `df`. Adds base_value (mean margin without intercept)
-    and contributions.
+    The means are one broadcast row. Adds base_value (mean margin without intercept) and contributions.
     """
-    means = df.agg(F.struct(*[F.avg(_value(f)).alias(f) for f in coefficients]).alias("m")).scalar()
-    rows = df.withColumn("_mean", means)
+    means = df.agg(F.struct(*[F.avg(_value(f)).alias(f) for f in coefficients]).alias("_mean"))
+    rows = match(df.select(*keep, *[f for f in coefficients if f not in keep]), F.broadcast(means), [])
 
     def element(f: str, c: float) -> Column:
         part = F.lit(float(c)) * (_value(f) - F.col("_mean")[f])

@@ -30,10 +30,9 @@ def statistics(df: DataFrame, features: Sequence[str], target: str, prediction_d
 
     def stats(name: str) -> Column:
         x = F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
-        varies = F.min(x) < F.max(x)
         return F.struct(
             F.lit(name).alias("feature"),
-            F.when(varies & (F.min(label) < F.max(label)), F.corr(x, label)).alias("corr"),
+            C.pearson(x, label).alias("corr"),
             F.avg(F.when(future, x)).alias("future_mean"),
             F.avg(F.when(~future, x)).alias("rest_mean"),
             F.stddev_samp(x).alias("std"),
