@@ -2,13 +2,195 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenuria import defaults as D
 from tenuria.functions import columns as C
+from tenuria.operators import metrics, splits
+from tenuria.operators.ranking import Slots
+
+EXCLUDED = frozenset(
+    "customer_id prediction_date churned_in_window churn_date sample_weight cohort ltv_tier contract_type".split()
+)
+
+# Boosting parameters; MLlib has no leaf limit and no L1/L2 penalty.
+GBT = {
+    "stepSize": 0.05,
+    "maxDepth": 6,
+    "subsamplingRate": 0.8,
+    "featureSubsetStrategy": "0.8",
+    "minInstancesPerNode": 20,
+    "maxIter": 40,
+    "seed": 42,
+    "cacheNodeIds": False,
+}
 
 
 def encode_categoricals(df: DataFrame) -> DataFrame:
     """Add *_encoded columns for the categorical columns present."""
     codes = {"cohort": D.COHORT_CODES, "ltv_tier": D.TIER_CODES, "contract_type": D.CONTRACT_CODES}
     return df.withColumns({f"{c}_encoded": C.encoded(c, m) for c, m in codes.items() if c in df.columns})
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """Numeric columns that are not identifiers, dates, label, weight or raw categories."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in EXCLUDED]
+
+
+def training_frame(df: DataFrame, target: str = "churned_in_window") -> tuple[DataFrame, list[str]]:
+    """Identifiers, features as doubles with NULL -> 0, label, weight; and the ordered feature list."""
+    encoded = encode_categoricals(df)
+    names = feature_columns(encoded)
+    weight = F.coalesce(F.col("sample_weight").cast("double"), F.lit(1.0)) if "sample_weight" in df.columns else F.lit(1.0)
+    keep = [c for c in ("customer_id", "prediction_date", "cohort", "ltv_tier", "churn_date") if c in df.columns]
+    frame = encoded.select(
+        *keep,
+        *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names],
+        F.col(target).cast("int").alias("label"),
+        weight.alias("weight"),
+    )
+    return frame, names
+
+
+def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """n / (2 * count) per class, an absent class counting as one row; and their ratio."""
+    one = F.greatest(F.count_if(F.col(label) == 1), F.lit(1))
+    zero = F.greatest(F.count_if(F.col(label) == 0), F.lit(1))
+    n = F.count("*").cast("double")
+    agg = df.agg((n / (2 * zero)).alias("weight_0"), (n / (2 * one)).alias("weight_1"))
+    return agg.withColumn("scale_pos_weight", F.col("weight_1") / F.col("weight_0"))
+
+
+def with_row_weights(frame: DataFrame, scale_pos_weight: float | Column) -> DataFrame:
+    """Value weight times the positive-class scale on churners."""
+    scale = scale_pos_weight if isinstance(scale_pos_weight, Column) else F.lit(float(scale_pos_weight))
+    return frame.withColumn("row_weight", F.col("weight") * F.when(F.col("label") == 1, scale).otherwise(F.lit(1.0)))
+
+
+def positive_scale(frame: DataFrame) -> float:
+    """One scalar for the driver: the positive-class weight ratio."""
+    return float(class_weights(frame).first()["scale_pos_weight"])
+
+
+def train_gbt(frame: DataFrame, features: Sequence[str], validation: DataFrame | None = None, **params) -> PipelineModel:
+    """Boosted trees; with a validation frame boosting stops when it no longer improves."""
+    weighted = with_row_weights(frame, positive_scale(frame))
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="row_weight", **{**GBT, **params})
+    if validation is not None:
+        held = with_row_weights(validation, 1.0).withColumn("is_validation", F.lit(True))
+        weighted = weighted.withColumn("is_validation", F.lit(False)).unionByName(held)
+        gbt = gbt.setValidationIndicatorCol("is_validation")
+    return _fit(weighted, features, [gbt])
+
+
+def train_logistic(frame: DataFrame, features: Sequence[str], **params) -> PipelineModel:
+    """Linear baseline on standardised features."""
+    weighted = with_row_weights(frame, positive_scale(frame))
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+    logistic = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="row_weight",
+                                  **{"maxIter": 50, "regParam": 0.01, **params})
+    return _fit(weighted, features, [scaler, logistic])
+
+
+def _fit(frame: DataFrame, features: Sequence[str], stages) -> PipelineModel:
+    """Fit; callers that fit many times settle the frame first (session.settle)."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    return Pipeline(stages=[assembler, *stages]).fit(frame)
+
+
+def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
+    """Add score = P(churn); working vector columns are dropped."""
+    out = model.transform(frame)
+    drop = [c for c in ("features", "scaled", "rawPrediction", "probability", "prediction") if c in out.columns]
+    return out.withColumn("score", vector_to_array("probability")[1]).drop(*drop)
+
+
+def batch_score(model: PipelineModel, frame: DataFrame) -> DataFrame:
+    """Scored snapshot with risk level and intervention priority (probability x tier weight)."""
+    return score(model, frame).withColumns(
+        {"risk_level": C.risk_level("score"), "intervention_priority": priority("score", "ltv_tier")}
+    )
+
+
+def priority(probability, tier) -> Column:
+    return C.col(probability) * C.sample_weight(tier)
+
+
+def feature_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
+    """(feature, importance): one row per model feature."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    rows = [(f, float(v)) for f, v in zip(features, values, strict=True)]
+    return spark.createDataFrame(rows, "feature STRING, importance DOUBLE").orderBy(F.desc("importance"), "feature")
+
+
+def cross_validate(frame: DataFrame, features: Sequence[str], n_splits: int = 5, trainer=train_gbt, slots: Slots | None = None,
+                   test_days: int = 30, **params) -> DataFrame:
+    """One row of metrics per temporal fold; the loop is over fits, each of them distributed."""
+    folds = splits.ts_folds(frame, n_splits=n_splits, test_days=test_days)
+    out = None
+    for fold in folds:
+        d = F.col("prediction_date")
+        train = frame.where((d >= C.day(fold.train_start)) & (d <= C.day(fold.train_end)))
+        test = frame.where((d >= C.day(fold.test_start)) & (d <= C.day(fold.test_end)))
+        if not fold.train_end < fold.test_start:
+            raise ValueError(f"fold {fold.fold} trains on dates of its test period")
+        model = trainer(train, features, **params)
+        row = metrics.evaluate(score(model, test), slots=slots).withColumn("fold", F.lit(fold.fold))
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("the period is too short for any fold")
+    return out
+
+
+def cv_summary(per_fold: DataFrame, names: Sequence[str] = ("auc_pr", "precision_at_10pct", "recall")) -> DataFrame:
+    """Mean and sample deviation over folds."""
+    cols = []
+    for n in names:
+        cols += [F.avg(n).alias(f"mean_{n}"), F.stddev_samp(n).alias(f"std_{n}")]
+    return per_fold.agg(F.count("*").alias("n_folds"), *cols)
+
+
+def run_metrics(run_id: str, train: DataFrame, validation: DataFrame, scored: DataFrame, n_features: int, slots: Slots | None = None) -> DataFrame:
+    """One row describing a run: sizes and churn rates of both sides, validation metrics."""
+    def side(df, name):
+        return df.agg(F.count("*").alias(f"n_{name}"), F.avg(F.col("label").cast("double")).alias(f"churn_rate_{name}"))
+
+    values = metrics.evaluate(scored, slots=slots).select("auc_roc", "auc_pr", "precision_at_10pct", "recall", "brier")
+    one = lambda df: df.withColumn("run_id", F.lit(run_id))
+    return (
+        one(side(train, "train"))
+        .join(one(side(validation, "validation")), "run_id")
+        .join(one(values), "run_id")
+        .withColumn("n_features", F.lit(n_features))
+    )
+
+
+def promotion_gate(candidate: DataFrame, champion: DataFrame, min_auc_pr: float = 0.5, min_precision: float = 0.6) -> DataFrame:
+    """Whether a candidate's metric row passes the floors and beats the champion's row.
+
+    Both are one-row frames; an empty champion is beaten by anything.
+    """
+    best = champion.agg(F.max("auc_pr").alias("champion_auc_pr"))
+    joined = candidate.select("auc_pr", "precision_at_10pct").join(F.broadcast(best), F.lit(True), "left")
+    floors = (F.col("auc_pr") > min_auc_pr) & (F.col("precision_at_10pct") > min_precision)
+    beats = F.col("champion_auc_pr").isNull() | (F.col("auc_pr") > F.col("champion_auc_pr"))
+    return joined.withColumns({"passes_floors": floors, "beats_champion": beats, "promote": floors & beats})
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Persist the pipeline; the assembler stage carries the ordered feature list."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> tuple[PipelineModel, list[str]]:
+    model = PipelineModel.load(path)
+    return model, list(model.stages[0].getInputCols())

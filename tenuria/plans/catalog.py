@@ -6,7 +6,14 @@ from importlib import import_module
 
 from tenuria.plans.registry import CHECKS, QUERIES
 
-MODULES = ("silver_queries", "feature_queries", "model_queries", "explain_queries", "insight_queries")
+MODULES = (
+    "silver_queries",
+    "feature_queries",
+    "model_queries",
+    "training_queries",
+    "explain_queries",
+    "insight_queries",
+)
 
 for _m in MODULES:
     import_module(f"tenuria.plans.{_m}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that make hot keys survivable; applied only where the
 # session has no explicit value of its own.
@@ -41,3 +43,31 @@ def local_session(name: str = "tenuria", cores: str = "*", partitions: int = 8)
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
+
+
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
+def shared_dir(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names; a temporary folder only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and is_local(spark):
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame that an iterative job reads many times.
+
+    Uses a reliable checkpoint, so a lost executor costs a re-read, not a recomputation. Without a
+    shared folder the frame is persisted instead.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if folder is None:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
