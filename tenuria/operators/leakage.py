@@ -1,4 +1,4 @@
-"""Temporal leakage audit: every statistic of every feature from one aggregation pass."""
+"""Temporal leakage audit: every statistic of every feature from one pass over the rows."""
 
 from __future__ import annotations
 
@@ -23,27 +23,30 @@ def numeric_features(df: DataFrame, features: Sequence[str]) -> list[str]:
 
 
 def statistics(df: DataFrame, features: Sequence[str], target: str, prediction_date, churn_date: str = "churn_date") -> DataFrame:
-    """One row per numeric feature: correlation, class ranges, and mean for future churners vs the rest."""
-    label = F.col(target).cast("double")
+    """One row per numeric feature: correlation, class ranges, and mean for future churners vs the rest.
+
+    Features become rows that are aggregated where they are (one partial row per feature and task):
+    a handful of aggregates that compile, rather than hundreds in one row.
+    """
     future = F.coalesce(F.col(churn_date) > C.day(prediction_date), F.lit(False)) if churn_date in df.columns else F.lit(False)
     names = numeric_features(df, features)
-
-    def stats(name: str) -> Column:
-        x = F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
-        return F.struct(
-            F.lit(name).alias("feature"),
-            C.pearson(x, label).alias("corr"),
-            F.avg(F.when(future, x)).alias("future_mean"),
-            F.avg(F.when(~future, x)).alias("rest_mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(F.when(label == 1, x)).alias("pos_min"),
-            F.max(F.when(label == 1, x)).alias("pos_max"),
-            F.min(F.when(label == 0, x)).alias("neg_min"),
-            F.max(F.when(label == 0, x)).alias("neg_max"),
-        )
-
-    wide = df.agg(F.array(*[stats(n) for n in names]).alias("all"))
-    return wide.select(F.explode("all").alias("s")).select("s.*")
+    null = F.lit(None).cast("double")
+    wide = df.select(
+        F.col(target).cast("double").alias("y"),
+        future.alias("ahead"),
+        *[F.nanvl(F.col(n).cast("double"), null).alias(n) for n in names],
+    )
+    x, y, ahead = F.col("x"), F.col("y"), F.col("ahead")
+    return wide.unpivot(["y", "ahead"], names, "feature", "x").groupBy("feature").agg(
+        C.pearson(x, y).alias("corr"),
+        F.avg(F.when(ahead, x)).alias("future_mean"),
+        F.avg(F.when(~ahead, x)).alias("rest_mean"),
+        F.stddev_samp(x).alias("std"),
+        F.min(F.when(y == 1, x)).alias("pos_min"),
+        F.max(F.when(y == 1, x)).alias("pos_max"),
+        F.min(F.when(y == 0, x)).alias("neg_min"),
+        F.max(F.when(y == 0, x)).alias("neg_max"),
+    )
 
 
 def correlation_severity(corr="corr") -> Column:

@@ -37,6 +37,8 @@ def local_session(name: str = "tenuria", cores: str = "*", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small test data: keep all cores busy instead of folding everything into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         # Recording the Python call site of every column costs more than analysing a wide plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
