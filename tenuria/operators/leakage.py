@@ -37,7 +37,11 @@ def statistics(df: DataFrame, features: Sequence[str], target: str, prediction_d
         *[F.nanvl(F.col(n).cast("double"), null).alias(n) for n in names],
     )
     x, y, ahead = F.col("x"), F.col("y"), F.col("ahead")
-    return wide.unpivot(["y", "ahead"], names, "feature", "x").groupBy("feature").agg(
+    if names:
+        long = wide.unpivot(["y", "ahead"], names, "feature", "x")
+    else:
+        long = wide.select("y", "ahead", F.lit("").alias("feature"), null.alias("x")).where("false")
+    return long.groupBy("feature").agg(
         C.pearson(x, y).alias("corr"),
         F.avg(F.when(ahead, x)).alias("future_mean"),
         F.avg(F.when(~ahead, x)).alias("rest_mean"),
