@@ -1,34 +1,46 @@
-"""Velocity alerts for the customers each micro-batch touches."""
+"""Velocity alerts recomputed as micro-batches of closed days arrive."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tenuria.functions import columns as C
 from tenuria.operators.playbooks import velocity_alert
 
 
-def velocity_batches(daily_path: str, alerts_path: str, customers: DataFrame, anchor, until, drop: float = 0.2) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over daily rows.
+def velocity_batches(daily_path: str, alerts_path: str, customers: DataFrame, anchor, drop: float = 0.2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over closed daily rows (customer_id, activity_date, login_count).
 
-    The batch is stored under its own id, and the alerts of its customers are recomputed from the
-    stored days and stored under the same id. A repeated batch overwrites itself.
+    The batch is stored under its own id; then the weeks that it completed are evaluated from the stored
+    days of those weeks and the two before, so customers that fell silent are found too. Alerts go under
+    the same id, and a repeated batch overwrites itself. Only two dates reach the driver.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        here = f"{daily_path}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(here)
-        touched = spark.read.parquet(here).select("customer_id").distinct()
-        days = spark.read.parquet(daily_path).drop("batch_id")
-        history = days.join(touched, "customer_id", "left_semi")
-        found = velocity_alert(history, customers, anchor, until, drop)
+        batch.write.mode("overwrite").parquet(f"{daily_path}/batch_id={batch_id}")
+        stored = spark.read.parquet(daily_path).where(F.col("batch_id") <= batch_id)
+        last, before = stored.agg(
+            F.max("activity_date"), F.max(F.when(F.col("batch_id") < batch_id, F.col("activity_date")))
+        ).first()
+        if last is None:
+            return
+        until = F.date_add(C.day(last), 1)
+        days, fresh = stored.drop("batch_id"), F.lit(True)
+        if before is not None:
+            # Weeks that ended by the day after `before` were evaluated by an earlier batch; a week that
+            # did not yet needs its own days and those of the two weeks before it.
+            fresh = F.date_add("week_start", 7) > F.date_add(C.day(before), 1)
+            days = days.where(F.col("activity_date") >= F.date_sub(C.day(before), 3 * 7))
+        found = velocity_alert(days, customers, anchor, until, drop).where(fresh)
         found.write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
 
     return run
 
 
 def latest_alerts(spark, alerts_path: str) -> DataFrame:
-    """Alerts across batches, one row per (customer, week)."""
-    return spark.read.parquet(alerts_path).drop("batch_id").dropDuplicates(["customer_id", "week_start"])
+    """Alerts across batches; every week is evaluated by one batch."""
+    return spark.read.parquet(alerts_path).drop("batch_id")
