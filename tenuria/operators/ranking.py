@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenuria.functions import columns as C
+from tenuria.session import settle
 
 N_SLOTS = 1024
 TIE_DIGITS = 3  # hex digits of the tie hash used as a bucket: 4096 of them
@@ -82,9 +83,12 @@ def running_totals(
 ) -> DataFrame:
     """Add cum_<m> (inclusive, in value order) and total_<m> per segment for each measure.
 
-    `cells` has one row per (by, value).
+    `cells` has one row per (by, value). Without given slots the cells are settled first, since finding
+    the slot edges is a pass of its own.
     """
-    slots = slots or Quantiles.of(cells, value)
+    if slots is None:
+        cells = settle(cells)
+        slots = Quantiles.of(cells, value)
     placed = slots.add(cells, value)
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = Window.partitionBy(*by, "_slot").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)

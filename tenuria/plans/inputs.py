@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tenuria.functions import columns as C
 from tenuria.operators import features, silver
 from tenuria.operators.snapshots import as_dates, date_grid, expand_base
+from tenuria.session import stored
 from tenuria.sources import accounts, activity
 
 A_DATE = "1998-06-01"
@@ -47,8 +48,15 @@ class Tables:
         return silver.silver_tickets(self.tickets)
 
     def gold(self, dates, **options) -> DataFrame:
+        """The 360 over stored silver tables: raw tables are read once per silver table, not once per feature group."""
+        if self.source is activity:
+            days = stored(activity.user_days(self.spark, self.directory))
+            customers = activity.customers(self.spark, self.directory, days)
+            daily = activity.engagement(self.spark, self.directory, days)
+        else:
+            customers, daily = self.customers, stored(self.engagement)
         return features.customer_360(
-            self.silver_customers, self.engagement, self.silver_tickets, dates, **options
+            silver.silver_customers(customers, self.source.END), daily, self.silver_tickets, dates, **options
         )
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tenuria.functions import columns as C
 from tenuria.operators import declared, metrics, monitoring, playbooks, profiling
-from tenuria.operators.ranking import EqualWidth
 from tenuria.plans.inputs import A_SNAPSHOTS, account_gold, account_tables, activity_gold, activity_tables, scored
 from tenuria.plans.model_queries import GRID, metric_ctes
 from tenuria.plans.registry import Check, query
+from tenuria.session import stored
 from tenuria.sources import activity
 
 P_B = "DATE '2024-01-29'"
@@ -182,7 +182,7 @@ def engagement_by_status(spark, d):
 
 @query("engagement_box", Check(_box_sql("by_status", "churn_status", ["avg_logins", "avg_features", "avg_session"]), *_BOX, "churn_status metric", _BY_STATUS))
 def engagement_box(spark, d):
-    return profiling.engagement_box(_by_status(spark, d), EqualWidth(0, 1000, 500))
+    return profiling.engagement_box(stored(_by_status(spark, d)))
 
 
 _CORR = ["tenure_days", "monthly_charges", "estimated_ltv", "churn_label"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +74,18 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches of a plan read to the shared folder, and read it back.
+
+    Parquet, so each branch still prunes columns and pushes its filters down; nothing upstream is computed
+    twice, and a lost executor costs a re-read.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if folder is None:
+        return df.persist()
+    path = f"{folder}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

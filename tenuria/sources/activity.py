@@ -6,7 +6,7 @@ events is collapsed by map-side aggregation before anything is keyed on the user
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenuria.functions import columns as C
@@ -55,9 +55,9 @@ def lifetimes(days: DataFrame) -> DataFrame:
     )
 
 
-def customers(spark: SparkSession, directory: str) -> DataFrame:
-    """Bronze-shaped customers, one row per user."""
-    life = lifetimes(user_days(spark, directory))
+def customers(spark: SparkSession, directory: str, days: DataFrame | None = None) -> DataFrame:
+    """Bronze-shaped customers, one row per user; `days` may be a stored user_days."""
+    life = lifetimes(user_days(spark, directory) if days is None else days)
     joined = life.join(
         attributes(read(spark, directory, "customer")), F.col("customer_id") == F.col("c_custkey")
     ).drop("c_custkey")
@@ -74,12 +74,14 @@ def customers(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def engagement(spark: SparkSession, directory: str) -> DataFrame:
-    """Daily engagement on or after signup."""
-    days = user_days(spark, directory)
-    signup = lifetimes(days).select("customer_id", "signup_date")
+def engagement(spark: SparkSession, directory: str, days: DataFrame | None = None) -> DataFrame:
+    """Daily engagement on or after signup. The window holds one row per day of a user."""
+    days = user_days(spark, directory) if days is None else days
+    mine = Window.partitionBy("customer_id")
+    first_signup = F.min(F.when(F.col("signups") > 0, F.col("activity_date"))).over(mine)
+    since = F.coalesce(first_signup, F.min("activity_date").over(mine))
     return (
-        days.join(signup, "customer_id")
+        days.withColumn("signup_date", since)
         .where("activity_date >= signup_date")
         .select(
             "customer_id",
