@@ -528,19 +528,22 @@ def activation_sla(spark, d):
     return playbooks.activation_sla(activity_gold(spark, d))
 
 
-@query(
-    "velocity_alert",
-    Check(
-        """
+def velocity_check(days: str) -> Check:
+    """Dense customer-week grid over the daily rows of the CTE `days`."""
+    return Check(
+        f"""
         SELECT w.customer_id, week_start, logins, p1 AS logins_prev, p2 AS logins_prev2, ltv_tier, CASE ltv_tier WHEN 'enterprise' THEN 'CSM call' ELSE 'Re-engagement campaign' END AS action
         FROM (SELECT *, LAG(logins, 1, 0) OVER o AS p1, LAG(logins, 2, 0) OVER o AS p2 FROM (
                 SELECT u.customer_id, DATE '2024-01-01' + CAST(7 * k AS INTEGER) AS week_start,
-                    COALESCE((SELECT SUM(login_count) FROM b_engagement e WHERE e.customer_id = u.customer_id AND e.activity_date - DATE '2024-01-01' BETWEEN 7 * k AND 7 * k + 6), 0) AS logins
+                    COALESCE((SELECT SUM(login_count) FROM {days} e WHERE e.customer_id = u.customer_id AND e.activity_date - DATE '2024-01-01' BETWEEN 7 * k AND 7 * k + 6), 0) AS logins
                 FROM b_life u CROSS JOIN range(0, 4) r(k)) WINDOW o AS (PARTITION BY customer_id ORDER BY week_start)) w
         JOIN b_silver_customers c ON c.customer_id = w.customer_id
         WHERE logins < p1 * 0.8::DOUBLE AND p1 < p2 * 0.8::DOUBLE""",
-        "customer_id logins logins_prev logins_prev2", "", "week_start ltv_tier action"),
-)
+        "customer_id logins logins_prev logins_prev2", "", "week_start ltv_tier action",
+    )
+
+
+@query("velocity_alert", velocity_check("b_engagement"))
 def velocity_alert(spark, d):
     t = activity_tables(spark, d)
     return playbooks.velocity_alert(t.engagement, t.silver_customers, "2024-01-01", "2024-01-29")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from tenuria.functions import columns as C
 from tenuria.operators import explain, metrics, training, tree_contributions
-from tenuria.plans.inputs import A_SNAPSHOTS, account_gold, scored
+from tenuria.plans.inputs import A_SNAPSHOTS, account_gold, activity_tables, scored
+from tenuria.plans.insight_queries import velocity_check
 from tenuria.plans.model_queries import GRID, metric_ctes
 from tenuria.plans.registry import Check, query
 from tenuria.session import settle, shared_dir
-from tenuria.streaming import daily
+from tenuria.streaming import alerts, daily
 
 # Smaller than the library defaults: these runs check the jobs, not the model.
 ROUNDS = {"maxIter": 5, "maxDepth": 4}
@@ -173,11 +175,19 @@ def promotion_gate(spark, d):
 # -- streams ------------------------------------------------------------------------
 
 
+def _stream_folder(spark) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid4().hex}"
+
+
+def _daily_stream(spark, d):
+    events = daily.read_events(spark, f"{d}/events*.parquet")
+    key = F.get_json_object("event_properties", "$.k").cast("int") % 15
+    return daily.daily_engagement(events, ("view",), ("click", "purchase"), key, F.col("minutes"))
+
+
 def _run(stream, spark, columns):
     """Run a stream over what is there and return what it wrote to the shared folder."""
-    from uuid import uuid4
-
-    folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    folder = _stream_folder(spark)
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
     writer.option("path", f"{folder}/rows").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(columns).parquet(f"{folder}/rows")
@@ -190,10 +200,7 @@ def _run(stream, spark, columns):
         "customer_id login_count features_used unique_features", "session_duration_minutes", "activity_date"),
 )
 def stream_daily_engagement(spark, d):
-    events = daily.read_events(spark, f"{d}/events*.parquet")
-    key = F.get_json_object("event_properties", "$.k").cast("int") % 15
-    days = daily.daily_engagement(events, ("view",), ("click", "purchase"), key, F.col("minutes"))
-    return _run(days, spark, "customer_id BIGINT, activity_date DATE, login_count BIGINT, features_used BIGINT, "
+    return _run(_daily_stream(spark, d), spark, "customer_id BIGINT, activity_date DATE, login_count BIGINT, features_used BIGINT, "
                              "unique_features INT, session_duration_minutes DOUBLE")
 
 
@@ -203,3 +210,14 @@ def stream_dedup(spark, d):
     repeated = events.unionByName(events.where(F.col("event_id") % 3 == 0))
     kept = daily.dedup(repeated).select("event_id", "customer_id", "event_type")
     return _run(kept, spark, "event_id BIGINT, customer_id BIGINT, event_type STRING")
+
+
+@query("stream_velocity_alert", velocity_check("b_days"))
+def stream_velocity_alert(spark, d):
+    """Closed days stream into the stored daily table; each batch evaluates the weeks it completed."""
+    folder = _stream_folder(spark)
+    customers = activity_tables(spark, d).silver_customers
+    on_batch = alerts.velocity_batches(f"{folder}/daily", f"{folder}/alerts", customers, "2024-01-01")
+    writer = _daily_stream(spark, d).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state")
+    writer.foreachBatch(on_batch).trigger(availableNow=True).start().awaitTermination()
+    return alerts.latest_alerts(spark, f"{folder}/alerts")
