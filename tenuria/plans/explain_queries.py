@@ -10,6 +10,7 @@ from tenuria.operators.intervention_rules import rule_rows
 from tenuria.plans.check_ctes import gold
 from tenuria.plans.inputs import A_DATE, account_tables, activity_gold
 from tenuria.plans.registry import Check, query
+from tenuria.session import stored
 
 # Fixed coefficients of the linear model the explanations are checked with.
 COEFFICIENTS = {
@@ -72,7 +73,8 @@ def _rows(spark, d):
 
 
 def _explained(spark, d):
-    return explain.linear_contributions(_rows(spark, d), COEFFICIENTS, KEEP, decimals=6)
+    # Read twice: for the means and for the rows.
+    return explain.linear_contributions(stored(_rows(spark, d)), COEFFICIENTS, KEEP, decimals=6)
 
 
 def _long(spark, d):
@@ -148,7 +150,7 @@ def waterfall_rows(spark, d):
         "customer_id rank", "contribution feature_value_norm", "feature", _ROWS),
 )
 def beeswarm_rows(spark, d):
-    long = _long(spark, d)
+    long = explain.exploded(stored(_explained(spark, d)), KEEP)
     return explain.beeswarm(long, explain.global_importance(long), 10).select(
         "customer_id", "feature", "rank", "contribution", "feature_value_norm"
     )

@@ -282,14 +282,13 @@ _PSI = (
 )
 
 
-def _psi(spark, d, columns=("score", "estimated_ltv")):
-    long = profiling.long_form(_all(spark, d), columns, ["prediction_date"])
-    return monitoring.psi(long, _baseline())
+def _psi(rows, columns=("score", "estimated_ltv")):
+    return monitoring.psi(profiling.long_form(rows, columns, ["prediction_date"]), _baseline())
 
 
 @query("mon_psi", Check("SELECT * FROM psi_out", "", "psi", "metric prediction_date", _PSI))
 def mon_psi(spark, d):
-    return _psi(spark, d)
+    return _psi(stored(_all(spark, d)))
 
 
 @query(
@@ -345,13 +344,14 @@ _BUSINESS = (("business", """
           FROM a_scored_all GROUP BY prediction_date)"""),)
 
 
-def _business(spark, d):
+def _business(rows):
     flagged = F.col("score") >= 0.5
     attempted = flagged & (F.col("customer_id") % 5 > 0)
-    rows = _all(spark, d).withColumns(
-        {"flagged": flagged, "attempted": attempted, "successful": attempted & (F.col("customer_id") % 3 == 0)}
+    return monitoring.business_daily(
+        rows.withColumns(
+            {"flagged": flagged, "attempted": attempted, "successful": attempted & (F.col("customer_id") % 3 == 0)}
+        )
     )
-    return monitoring.business_daily(rows)
 
 
 @query(
@@ -360,7 +360,7 @@ def _business(spark, d):
           "revenue_at_risk revenue_saved intervention_rate save_rate", "prediction_date", _BUSINESS),
 )
 def mon_business_daily(spark, d):
-    return _business(spark, d)
+    return _business(_all(spark, d))
 
 
 # The daily monitoring frame: drift of the score, missing rate, model and business metrics per snapshot.
@@ -374,15 +374,15 @@ _FRAME = (*_PSI, *_DAILY_METRICS, *_BUSINESS, ("frame", """
 
 
 def _frame(spark, d):
-    rows = _all(spark, d)
+    rows = stored(_all(spark, d))
     null = lambda c: F.count_if(F.col(c).isNull())
     missing = rows.groupBy("prediction_date").agg(
         ((null("churn_date") + null("contract_type")) * 50.0 / F.count("*")).alias("missing_rate_pct")
     )
     parts = [
-        _psi(spark, d, ("score",)).drop("metric"),
+        _psi(rows, ("score",)).drop("metric"),
         metrics.evaluate(rows, ["prediction_date"], slots=GRID).select("prediction_date", "auc_pr", "brier"),
-        _business(spark, d).select("prediction_date", "save_rate", "intervention_rate"),
+        _business(rows).select("prediction_date", "save_rate", "intervention_rate"),
         missing,
     ]
     return reduce(lambda a, b: a.join(b, "prediction_date"), parts)

@@ -10,6 +10,7 @@ from tenuria.operators.ranking import EqualWidth
 from tenuria.plans import inputs
 from tenuria.plans.inputs import A_DATE, A_SNAPSHOTS, account_gold, account_tables, scored
 from tenuria.plans.registry import Check, query
+from tenuria.session import stored
 
 P_A = "DATE '1998-06-01'"
 # The registered score is a grid of a thousand values over [0, 1), so equal-width slots are balanced.
@@ -481,12 +482,12 @@ def _segment_check(segment):
 
 @query("eval_by_cohort", _segment_check("cohort"))
 def eval_by_cohort(spark, d):
-    return metrics.evaluate(scored(spark, d), ["cohort"], slots=GRID)
+    return metrics.evaluate(stored(scored(spark, d)), ["cohort"], slots=GRID)
 
 
 @query("eval_by_ltv_tier", _segment_check("ltv_tier"))
 def eval_by_ltv_tier(spark, d):
-    return metrics.evaluate(scored(spark, d), ["ltv_tier"], slots=GRID)
+    return metrics.evaluate(stored(scored(spark, d)), ["ltv_tier"], slots=GRID)
 
 
 def _impact_sql(rows, cut):
@@ -537,7 +538,7 @@ _POINT = "best_point", (
     ),
 )
 def evaluation_report(spark, d):
-    return thresholds.evaluation_report(scored(spark, d), GRID)
+    return thresholds.evaluation_report(stored(scored(spark, d)), GRID)
 
 
 @query(
