@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tenuria import defaults as D
 from tenuria.functions import columns as C
-from tenuria.operators.ranking import TIE_DIGITS, Slots, mark_first_k, match, running_totals
+from tenuria.operators.ranking import TIE_DIGITS, Slots, check_segments, mark_first_k, match, running_totals
 
 K_PCTS = (0.1, 0.2)
 
@@ -103,6 +103,7 @@ def _label_share(rows: DataFrame, ranked: DataFrame, by: Sequence[str], pcts: Se
     Positives above the crossing score come from `ranked`, the running totals. Of the rows tied at that
     score only one hash bucket is sorted; the buckets before it are counted.
     """
+    check_segments(by, key)
     names = {float(p): f"precision_at_{round(p * 100)}pct" for p in pcts}
     k = F.floor(F.col("total_n") * F.col("_pct"))
     crossing = (

@@ -110,6 +110,12 @@ def running_totals(
     )
 
 
+def check_segments(by: Sequence[str], key: str) -> None:
+    """One row per segment is broadcast, so the row identifier cannot be part of the segment."""
+    if key in by:
+        raise ValueError(f"{key} identifies rows and cannot be a segment")
+
+
 def first_k(
     rows: DataFrame,
     by: Sequence[str],
@@ -125,6 +131,7 @@ def first_k(
     those with exactly that value), `_hash` (the last tie hash taken) and `_before` (rows ahead of the value).
     Only the rows of the crossing value are looked at, and among them only one hash bucket is sorted.
     """
+    check_segments(by, key)
     cells = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
     ranked = running_totals(cells, by, value, ["n"], slots, descending).withColumn("_k", k.cast("long"))
     crossing = (

@@ -135,3 +135,11 @@ def test_ab_halves_every_stratum(spark):
     got = playbooks.ab_assign(df, ["cohort"]).groupBy("cohort").pivot("arm").count()
     for r in rows(got):
         assert 0 <= r["control"] - r["treatment"] <= 1
+
+
+def test_row_identifier_is_not_a_segment(spark):
+    df = spark.createDataFrame(cases()["constant"], SCHEMA)
+    with pytest.raises(ValueError):
+        metrics.evaluate(df, ["customer_id"])
+    with pytest.raises(ValueError):
+        playbooks.ab_assign(df, ["customer_id"])
