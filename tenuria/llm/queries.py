@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenuria.llm import prefix_bpe, token_counts, token_planes
+from tenuria.llm import prefix_bpe, suffix_levels, token_counts, token_planes
 from tenuria.llm.frames import table, tokenizer_file
 from tenuria.session import shared_dir
 
@@ -29,6 +29,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/counts-{uuid4().hex}", tokenizer_file())
 
 
+def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_levels.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
