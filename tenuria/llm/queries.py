@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenuria.llm import prefix_bpe, suffix_levels, token_counts, token_planes
+from tenuria.llm import prefix_bpe, simhash, suffix_levels, token_counts, token_planes
 from tenuria.llm.frames import table, tokenizer_file
 from tenuria.session import shared_dir
 
@@ -25,6 +25,11 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/counts-{uuid4().hex}", tokenizer_file())
 

@@ -114,9 +114,9 @@ def read_planes(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary: little-endian unsigned 32-bit numbers)."""
     rows = spark.read.schema(DDL).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per part, at most as many as the writer's ranges.
+    # One row of two numbers per part, at most as many as the writer's ranges: small enough to broadcast.
     parts = rows.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = rows.join(parts, "part")
+    placed = rows.join(F.broadcast(parts), "part")
 
     def pieces(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
