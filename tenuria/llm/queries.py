@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenuria.llm import prefix_bpe, simhash, suffix_levels, token_counts, token_planes
+from tenuria.llm import chat, containment, prefix_bpe, simhash, suffix_levels, token_counts, token_planes
 from tenuria.llm.frames import table, tokenizer_file
-from tenuria.session import shared_dir
+from tenuria.session import shared_dir, stored
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/counts-{uuid4().hex}", tokenizer_file())
 
 
+def op7_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    out = stored(chat.formatted(chat.canonical(chat.records(rows))).select("conv_id", "formatted", "loss"))
+    turns = chat.parsed(F.col("formatted"))
+    flat = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.masked(F.col("formatted"), F.col("loss"))
+    return out.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+                      F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_levels.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
@@ -45,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_containment": containment.CONTAINED_SQL, "op8_chat": chat.FORMAT_SQL}
