@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenuria.llm import chat, containment, prefix_bpe, simhash, suffix_levels, token_counts, token_planes
+from tenuria.llm import chat, containment, prefix_bpe, simhash, string_kernel, suffix_levels, token_counts, token_planes
 from tenuria.llm.frames import table, tokenizer_file
 from tenuria.session import shared_dir, stored
 
@@ -34,6 +34,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/counts-{uuid4().hex}", tokenizer_file())
 
 
+def held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = string_kernel.fit(docs.where(~held_out()))
+    return string_kernel.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
