@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenuria.llm import chat, containment, prefix_bpe, simhash, string_kernel, suffix_levels, token_counts, token_planes
+from tenuria.llm import chat, containment, line_blocks, prefix_bpe, projection_ann, simhash, string_kernel, suffix_levels, token_counts, token_planes
 from tenuria.llm.frames import table, tokenizer_file
 from tenuria.session import shared_dir, stored
 
@@ -19,6 +19,10 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
@@ -65,6 +69,10 @@ def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
