@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tenuria.llm.frames import lanes, utf8
+from tenuria.llm.frames import lanes, slices, utf8
 from tenuria.session import stored
 
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 256, 1e-3
 UNKNOWN = "und"
+#: Bytes of text that a task works on at a time.
+PART = 1 << 20
 #: Symbols: 0 is what stands between words, 1 any letter outside the alphabet, the rest the most frequent letters.
 SYMBOLS = 64
 SPACE = 1 + SYMBOLS + SYMBOLS**2
@@ -106,9 +108,11 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
-            code, _ = points(batch.column(0))
-            for c, n in zip(*np.unique(code, return_counts=True), strict=True):
-                total[int(c)] = total.get(int(c), 0) + int(n)
+            for some in slices(batch, "text", PART):
+                code, _ = points(some.column(0))
+                n = np.bincount(code)
+                for c in np.flatnonzero(n).tolist():
+                    total[c] = total.get(c, 0) + int(n[c])
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
 
     counts = d.select("text").mapInArrow(count, "code long, n long").where("code <> 32").groupBy("code").agg(F.sum("n").alias("n"))
@@ -122,10 +126,11 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = Model([], held.value, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
         for batch in batches:
-            code, start = points(batch.column(2))
-            symbols = blank.symbols(code)
-            sets = [grams(symbols[a:b]).astype(np.int32).tobytes() for a, b in zip(start, start[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["lang", "h", "grams"])
+            for some in slices(batch, "text", PART):
+                code, start = points(some.column(2))
+                symbols = blank.symbols(code)
+                sets = [grams(symbols[a:b]).astype(np.int32).tobytes() for a, b in zip(start, start[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.binary())], ["lang", "h", "grams"])
 
     chosen = d.select("lang", F.xxhash64("key").alias("h"), "text").join(picked, ["lang", "h"]).select("lang", "h", "text")
     taken = chosen.mapInArrow(gathered, "lang string, h long, grams binary").groupBy("lang", "h").agg(F.min("grams").alias("grams")).collect()
@@ -178,8 +183,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            parts = (part.slice(at, 256) for part in slices(batch, "letters_", PART) for at in range(0, part.num_rows, 256))
+            for some in parts:
                 found = some.column(width)
                 empty = np.array(pc.equal(pc.binary_length(found), 0))
                 best, score = m.predict(found) if m else (np.zeros(len(empty), np.int64), np.zeros(len(empty)))
