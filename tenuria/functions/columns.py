@@ -178,4 +178,7 @@ def tie_order(key) -> Column:
     Being a hash it is evenly spread whatever the ids look like, so equal-width
     buckets of it are balanced without looking at the data first.
     """
-    return F.md5(col(key).cast("string"))
+    keys = [key] if isinstance(key, (str, Column)) else list(key)
+    if len(keys) == 1:
+        return F.md5(col(keys[0]).cast("string"))
+    return F.md5(F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys]))

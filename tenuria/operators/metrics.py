@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tenuria import defaults as D
 from tenuria.functions import columns as C
-from tenuria.operators.ranking import TIE_DIGITS, Slots, check_segments, mark_first_k, match, running_totals
+from tenuria.operators.ranking import TIE_DIGITS, Key, Slots, check_segments, mark_first_k, match, running_totals
 
 K_PCTS = (0.1, 0.2)
 
@@ -83,8 +83,14 @@ def ranking_metrics(rows: DataFrame, by: Sequence[str] = (), slots: Slots | None
     return cumulative(rows, by, slots).groupBy(*by).agg(*[c.alias(n) for n, c in _ranked_columns().items()])
 
 
+def _squared(error: Column) -> Column:
+    """A squared error as a decimal: sums of it do not depend on the order of tasks."""
+    return F.pow(error, 2).cast("decimal(20,12)")
+
+
 def brier(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return rows.groupBy(*by).agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
+    total = F.sum(_squared(F.col("score") - F.col("label"))).cast("double")
+    return rows.groupBy(*by).agg((total / F.count("*")).alias("brier"))
 
 
 def k_of(pct: float) -> Column:
@@ -92,12 +98,12 @@ def k_of(pct: float) -> Column:
     return F.floor(F.col("total_n") * F.lit(float(pct)))
 
 
-def top_k(rows: DataFrame, by: Sequence[str], pct: float, key: str, slots: Slots | None = None) -> DataFrame:
-    """The top share of each segment by (score, hash of key)."""
+def top_k(rows: DataFrame, by: Sequence[str], pct: float, key: Key, slots: Slots | None = None) -> DataFrame:
+    """The top share of each segment by (score, hash of the whole row key)."""
     return mark_first_k(rows, by, "score", key, k_of(pct), slots).where("taken").drop("taken")
 
 
-def _label_share(rows: DataFrame, ranked: DataFrame, by: Sequence[str], pcts: Sequence[float], key: str) -> DataFrame:
+def _label_share(rows: DataFrame, ranked: DataFrame, by: Sequence[str], pcts: Sequence[float], key: Key) -> DataFrame:
     """(by, precision_at_<p>pct ...): label share among the first k rows by (score, hash of key).
 
     Positives above the crossing score come from `ranked`, the running totals. Of the rows tied at that
@@ -114,8 +120,8 @@ def _label_share(rows: DataFrame, ranked: DataFrame, by: Sequence[str], pcts: Se
                 (F.col("cum_pos") - F.col("pos")).alias("_ahead"))
     )
     # One row per segment and share: segments are closed domains, which bounds the broadcast.
-    tied = match(rows.select(*by, "score", "label", F.col(key).alias("_key")), F.broadcast(crossing), [*by, "score"])
-    tied = tied.withColumn("_hash", C.tie_order("_key")).withColumn("_bucket", F.substring("_hash", 1, TIE_DIGITS))
+    tied = match(rows.select(*by, "score", "label", C.tie_order(key).alias("_hash")), F.broadcast(crossing), [*by, "score"])
+    tied = tied.withColumn("_bucket", F.substring("_hash", 1, TIE_DIGITS))
     group = [*by, "_pct"]
     counts = tied.groupBy(*group, "_bucket").agg(
         F.count("*").alias("_n"), F.sum("label").alias("_p"), *[F.first(c).alias(c) for c in ("_need", "_ahead", "_k")]
@@ -145,7 +151,7 @@ def _with_precision(out: DataFrame, rows, ranked, by, pcts, key) -> DataFrame:
     return out
 
 
-def precision_at(rows: DataFrame, by: Sequence[str] = (), pcts: Sequence[float] = K_PCTS, key: str = "customer_id",
+def precision_at(rows: DataFrame, by: Sequence[str] = (), pcts: Sequence[float] = K_PCTS, key: Key = "customer_id",
                  slots: Slots | None = None) -> DataFrame:
     """precision_at_<p>pct and lift_at_<p>pct per segment, with churn_rate."""
     ranked = cumulative(rows, by, slots)
@@ -153,16 +159,16 @@ def precision_at(rows: DataFrame, by: Sequence[str] = (), pcts: Sequence[float]
     return _with_precision(base, rows, ranked, by, pcts, key)
 
 
-def evaluate(rows: DataFrame, by: Sequence[str] = (), threshold: float = 0.5, key: str = "customer_id",
+def evaluate(rows: DataFrame, by: Sequence[str] = (), threshold: float = 0.5, key: Key = "customer_id",
              slots: Slots | None = None) -> DataFrame:
     """All metrics, one row per segment, in one plan over one histogram; add n_samples and churn_rate."""
     ranked = cumulative(rows, by, slots)
-    pos, score = F.col("pos").cast("double"), F.col("score")
-    errors = pos * F.pow(score - 1, 2) + (F.col("n") - pos) * F.pow(score, 2)
+    pos, neg = F.col("pos").cast("decimal(18,0)"), (F.col("n") - F.col("pos")).cast("decimal(18,0)")
+    errors = pos * _squared(F.col("score") - 1) + neg * _squared(F.col("score"))
     out = ranked.groupBy(*by).agg(
         F.max("total_n").alias("n_samples"),
         (F.max("total_pos") / F.max("total_n").cast("double")).alias("churn_rate"),
-        (F.sum(errors) / F.max("total_n")).alias("brier"),
+        (F.sum(errors).cast("double") / F.max("total_n")).alias("brier"),
         *[c.alias(n) for n, c in {**_counts(threshold), **_ranked_columns()}.items()],
     )
     return _with_precision(out.withColumns(_rates()), rows, ranked, by, K_PCTS, key)

@@ -110,23 +110,29 @@ def running_totals(
     )
 
 
-def check_segments(by: Sequence[str], key: str) -> None:
-    """One row per segment is broadcast, so the row identifier cannot be part of the segment."""
-    if key in by:
-        raise ValueError(f"{key} identifies rows and cannot be a segment")
+Key = str | Sequence[str]
+
+
+def check_segments(by: Sequence[str], key: Key) -> None:
+    """One row per segment is broadcast, so what identifies a row, or its first part, cannot be a segment."""
+    first = key if isinstance(key, str) else key[0]
+    if first in by:
+        raise ValueError(f"{first} identifies rows and cannot be a segment")
 
 
 def first_k(
     rows: DataFrame,
     by: Sequence[str],
     value: str,
-    key: str,
+    key: Key,
     k: Column,
     slots: Slots | None = None,
     descending: bool = True,
 ) -> DataFrame:
     """The cut after the first k rows by (value, hash of key): one row per segment.
 
+    `key` is the whole key of a row, such as (customer_id, prediction_date): rows that share it share a place.
+
     `k` may use total_n, the size of the segment. Columns: by, value, `_need` (rows to take among
     those with exactly that value), `_hash` (the last tie hash taken) and `_before` (rows ahead of the value).
     Only the rows of the crossing value are looked at, and among them only one hash bucket is sorted.
@@ -142,16 +148,14 @@ def first_k(
     return match(crossing, tie_cut(rows, crossing, by, value, key), [*by, value])
 
 
-def tie_cut(rows: DataFrame, crossing: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
+def tie_cut(rows: DataFrame, crossing: DataFrame, by: Sequence[str], value: str, key: Key) -> DataFrame:
     """(by, value, _hash): the `_need`-th smallest tie hash among the rows of each crossing value.
 
     `crossing` has one row per segment. Segments are closed domains (cohort, tier, contract, date),
     which is what bounds the broadcast.
     """
-    tied = match(rows.select(*by, value, F.col(key).alias("_key")), F.broadcast(crossing), [*by, value])
-    tied = tied.withColumn("_hash", C.tie_order("_key")).withColumn(
-        "_bucket", F.substring("_hash", 1, TIE_DIGITS)
-    )
+    tied = match(rows.select(*by, value, C.tie_order(key).alias("_hash")), F.broadcast(crossing), [*by, value])
+    tied = tied.withColumn("_bucket", F.substring("_hash", 1, TIE_DIGITS))
     group = [*by, value]
     counts = tied.groupBy(*group, "_bucket", "_need").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -165,7 +169,7 @@ def tie_cut(rows: DataFrame, crossing: DataFrame, by: Sequence[str], value: str,
     return inside.withColumn("_rank", rank).where("_rank = _rest").select(*group, "_hash")
 
 
-def taken(value: str, key: str, descending: bool = True) -> Column:
+def taken(value: str, key: Key, descending: bool = True) -> Column:
     """Whether a row matched with its cut (`_cut_value`, `_cut_hash`) is among the first k."""
     v, cut = F.col(value), F.col("_cut_value")
     ahead = v > cut if descending else v < cut
@@ -173,7 +177,7 @@ def taken(value: str, key: str, descending: bool = True) -> Column:
 
 
 def mark_first_k(
-    rows: DataFrame, by: Sequence[str], value: str, key: str, k: Column, slots: Slots | None = None,
+    rows: DataFrame, by: Sequence[str], value: str, key: Key, k: Column, slots: Slots | None = None,
     descending: bool = True, name: str = "taken",
 ) -> DataFrame:
     """Add a boolean: row is among the first k of its segment by (value, hash of key)."""

@@ -262,12 +262,12 @@ def split_strata(spark, d):
 # -- evaluation ---------------------------------------------------------------------
 
 
-def metric_ctes(rows: str, by: str, prefix: str = "m") -> tuple[tuple[str, str], ...]:
+def metric_ctes(rows: str, by: str, prefix: str = "m", key: str = "CAST(customer_id AS VARCHAR)") -> tuple[tuple[str, str], ...]:
     """The metrics of `rows` per segment expression list `by`, ranked row by row with window functions."""
     part = f"PARTITION BY {by}"
     return (
         (f"{prefix}_ranked", f"""
-            SELECT *, ROW_NUMBER() OVER ({part} ORDER BY score DESC, MD5(CAST(customer_id AS VARCHAR))) AS rn,
+            SELECT *, ROW_NUMBER() OVER ({part} ORDER BY score DESC, MD5({key})) AS rn,
                 COUNT(*) OVER ({part}) AS n, SUM(label) OVER ({part}) AS p,
                 SUM(label) OVER ({part} ORDER BY score DESC) AS cum_pos, COUNT(*) OVER ({part} ORDER BY score DESC) AS cum_n,
                 SUM(1 - label) OVER ({part} ORDER BY score RANGE UNBOUNDED PRECEDING EXCLUDE TIES) AS neg_upto,
@@ -281,7 +281,7 @@ def metric_ctes(rows: str, by: str, prefix: str = "m") -> tuple[tuple[str, str],
                 CASE WHEN pos > 0 AND pos < n_samples THEN ap / pos ELSE 0 END AS auc_pr,
                 p10 AS precision_at_10pct, p20 AS precision_at_20pct,
                 COALESCE(p10 / NULLIF(churn_rate, 0), 0) AS lift_at_10pct, COALESCE(p20 / NULLIF(churn_rate, 0), 0) AS lift_at_20pct
-            FROM (SELECT {by}, COUNT(*) AS n_samples, AVG(CAST(label AS DOUBLE)) AS churn_rate, AVG(POW(score - label, 2)) AS brier, SUM(label) AS pos,
+            FROM (SELECT {by}, COUNT(*) AS n_samples, AVG(CAST(label AS DOUBLE)) AS churn_rate, CAST(SUM(CAST(POW(score - label, 2) AS DECIMAL(20,12))) AS DOUBLE) / COUNT(*) AS brier, SUM(label) AS pos,
                 COUNT(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, COUNT(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
                 COUNT(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, COUNT(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn,
                 SUM(CASE WHEN label = 1 THEN neg_below + 0.5 * neg_tied ELSE 0 END) AS area,
@@ -339,6 +339,28 @@ def top_k_rows(spark, d):
     return metrics.top_k(scored(spark, d), [], 0.1, "customer_id", GRID).select("customer_id", "score")
 
 
+# Several snapshots of a customer: the key of a row is the pair.
+ROW_KEY = ("customer_id", "prediction_date")
+_MULTI = (("multi_rows", "SELECT *, 'all' AS segment FROM a_scored_all"),
+          *metric_ctes("multi_rows", "segment", "mm", "CAST(customer_id AS VARCHAR) || '|' || CAST(prediction_date AS VARCHAR)"))
+
+
+@query(
+    "top_k_multi",
+    Check("SELECT customer_id, prediction_date, score FROM mm_ranked WHERE rn <= FLOOR(n * 0.1::DOUBLE)", "customer_id", "score", "prediction_date", extra=_MULTI),
+)
+def top_k_multi(spark, d):
+    return metrics.top_k(scored(spark, d, A_SNAPSHOTS), [], 0.1, ROW_KEY).select("customer_id", "prediction_date", "score")
+
+
+@query(
+    "precision_at_k_multi",
+    Check("SELECT precision_at_10pct, precision_at_20pct FROM mm_out", "", "precision_at_10pct precision_at_20pct", extra=_MULTI),
+)
+def precision_at_k_multi(spark, d):
+    return metrics.precision_at(scored(spark, d, A_SNAPSHOTS), key=ROW_KEY).select("precision_at_10pct", "precision_at_20pct")
+
+
 @query(
     "recall_window",
     Check(
