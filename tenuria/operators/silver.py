@@ -113,15 +113,14 @@ def daily_measures(
 ) -> dict[str, Column]:
     """Aggregates of one (customer, day); all mergeable, valid in batch and streaming.
 
-    The distinct feature count is a bit set: exact over the fixed feature domain, partial on the
-    map side, and needs no second shuffle.
+    The distinct feature count is the size of a set: exact for any codes, partial on the map side, and
+    needs no second shuffle. A set holds the codes one customer used in one day.
     """
     uses = F.col("event_type").isin(*feature_types)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), feature_key.cast("int"))
     return {
         "login_count": F.count_if(F.col("event_type").isin(*login_types)),
         "features_used": F.count_if(uses),
-        "unique_features": F.bit_count(F.coalesce(F.bit_or(F.when(uses, bit)), F.lit(0).cast("long"))),
+        "unique_features": F.size(F.collect_set(F.when(uses, feature_key))),
         "session_duration_minutes": F.coalesce(F.sum(minutes), F.lit(0)).cast("double"),
     }
 
@@ -134,7 +133,7 @@ def events_to_daily(
     minutes: Column,
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Raw events -> one row per (customer, day). `feature_key` is a small non-negative code (< 63)."""
+    """Raw events -> one row per (customer, day). `feature_key` may have any values; null ones are not counted."""
     measures = daily_measures(login_types, feature_types, feature_key, minutes) | dict(extra or {})
     return events.groupBy("customer_id", F.to_date("event_timestamp").alias("activity_date")).agg(
         *[c.alias(name) for name, c in measures.items()]

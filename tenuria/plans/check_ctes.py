@@ -163,7 +163,7 @@ CTES: dict[str, str] = {
     SELECT o.customer_id, o.d, l_partkey, l_quantity FROM lineitem JOIN a_orders o ON l_orderkey = o_orderkey""",
     "a_engagement": """
     SELECT x.customer_id, x.d AS activity_date, x.n AS login_count, COALESCE(y.used, 0) AS features_used,
-        LEAST(15, COALESCE(y.parts, 0)) AS unique_features, COALESCE(y.qty, 0) AS session_duration_minutes
+        COALESCE(y.parts, 0) AS unique_features, COALESCE(y.qty, 0) AS session_duration_minutes
     FROM (SELECT customer_id, d, COUNT(DISTINCT o_orderkey) AS n FROM a_orders GROUP BY 1, 2) x
     LEFT JOIN (SELECT customer_id, d, COUNT(*) AS used, COUNT(DISTINCT l_partkey) AS parts, SUM(l_quantity) AS qty
                FROM a_lines GROUP BY 1, 2) y ON x.customer_id = y.customer_id AND x.d = y.d""",
@@ -197,7 +197,7 @@ CTES: dict[str, str] = {
         COUNT(*) FILTER (WHERE event_type = 'view') AS login_count,
         COUNT(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS features_used,
         COUNT(DISTINCT CASE WHEN event_type IN ('click', 'purchase')
-            THEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 15 END) AS unique_features,
+            THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END) AS unique_features,
         CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS session_duration_minutes
     FROM events GROUP BY 1, 2""",
     "b_engagement": """

@@ -38,7 +38,7 @@ def user_days(spark: SparkSession, directory: str) -> DataFrame:
         bronze_events(spark, directory),
         login_types=("view",),
         feature_types=("click", "purchase"),
-        feature_key=F.get_json_object("event_properties", "$.k").cast("int") % 15,
+        feature_key=F.get_json_object("event_properties", "$.k").cast("int"),
         minutes=F.col("minutes"),
         extra={"signups": F.count_if(F.col("event_type") == "signup")},
     )

@@ -42,7 +42,7 @@ def daily_engagement(
 ) -> DataFrame:
     """One row per (customer, day), emitted when the watermark passes midnight; later events are dropped.
 
-    The state per day is four numbers: the distinct feature count is a bit set. Pass delay=None when
+    The state per day is three numbers and the set of features used. Pass delay=None when
     the input already has a watermark.
     """
     if delay is not None:

@@ -21,7 +21,7 @@ def _split(spark, folder, parts=3):
 
 
 def _days(stream, **options):
-    key = F.get_json_object("event_properties", "$.k").cast("int") % 15
+    key = F.get_json_object("event_properties", "$.k").cast("int")
     return daily.daily_engagement(stream, ("view",), ("click", "purchase"), key, F.col("minutes"), **options)
 
 
