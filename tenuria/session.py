@@ -7,24 +7,23 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings that make hot keys survivable; applied only where the
-# session has no explicit value of its own.
+# Settings the operators are written for; adaptive execution and its skew joins are on by default.
 RUNTIME_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more exchange later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
+TUNED = "tenuria.tuned"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply RUNTIME_CONF to `spark` without overriding the user's choices."""
-    explicit = {k for k, _ in spark.sparkContext.getConf().getAll()}
-    for key, value in RUNTIME_CONF.items():
-        if key not in explicit:
-            spark.conf.set(key, value)
+    """Apply RUNTIME_CONF once to a session; what was set at its start or is set afterwards stays."""
+    if spark.conf.get(TUNED, None) is None:
+        explicit = {k for k, _ in spark.sparkContext.getConf().getAll()}
+        for key, value in RUNTIME_CONF.items():
+            if key not in explicit:
+                spark.conf.set(key, value)
+        spark.conf.set(TUNED, "true")
     return spark
 
 
@@ -52,25 +51,25 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names; a temporary folder only on a local master."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir. Where none is set, a local session gets a
+    temporary one of its own; a cluster has to name it, as its machines do not share such folders."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None and is_local(spark):
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
+    if named is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that an iterative job reads many times.
 
-    Uses a reliable checkpoint, so a lost executor costs a re-read, not a recomputation. Without a
-    shared folder the frame is persisted instead.
+    Uses a reliable checkpoint, so a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
-    if folder is None:
-        return df.persist()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
@@ -83,9 +82,6 @@ def stored(df: DataFrame) -> DataFrame:
     twice, and a lost executor costs a re-read.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if folder is None:
-        return df.persist()
-    path = f"{folder}/stored-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/stored-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
