@@ -31,7 +31,7 @@ from tenuria.session import shared_dir
 
 LENGTH, HEAD = 50, 24
 BATCHES = 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 BLOCKS = "block long, batch int, doc_ids array<long>, lengths array<long>, body binary"
 SHARD = "shard long, kind string, block long, level int, a binary, b binary, c binary"
@@ -69,12 +69,11 @@ class Block:
         self.data = np.zeros(n + 2 * LENGTH + 64, np.uint8)
         self.data[:n] = np.frombuffer(body, np.uint8)
         view = lanes(self.data)
-        h = view[:n] * np.uint64(0x9E3779B97F4A7C15)
-        h += view[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
-        h += view[16 : n + 16] * np.uint64(0xD6E8FEB86659FD93)
-        h = mix(h, 0xA0761D6478BD642F)
         low = np.full(n + LENGTH, np.iinfo(np.uint64).max, np.uint64)
-        low[:n] = h
+        for i in range(0, n, 1 << 18):  # in parts, for the sake of memory
+            j = min(n, i + (1 << 18))
+            h = view[i:j] * np.uint64(0x9E3779B97F4A7C15) + view[i + 8 : j + 8] * np.uint64(0xC2B2AE3D27D4EB4F) + view[i + 16 : j + 16] * np.uint64(0xD6E8FEB86659FD93)
+            low[i:j] = mix(h, 0xA0761D6478BD642F)
         step = 1
         while 2 * step <= LENGTH - HEAD + 1:
             low = np.minimum(low[: len(low) - step], low[step:])
@@ -90,7 +89,8 @@ class Block:
         self.start = np.flatnonzero(ok[1:-1] & ~(ok[:-2] & same[:n]))
         end = np.flatnonzero(ok[1:-1] & ~(ok[2:] & same[1:]))
         self.count = end - self.start + 1
-        self.head = low[self.start] >> np.uint64(shift)
+        # Smallest hashes crowd at zero; mixed once more, they spread evenly over the shards.
+        self.head = mix(low[self.start], 0xE7037ED1A0B428DB) >> np.uint64(shift)
         self.doc = self.doc_ids[np.searchsorted(self.offsets, self.start, side="right") - 1] if n else np.zeros(0, np.int64)
 
     def pick(self, some: np.ndarray) -> None:
@@ -143,6 +143,18 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def by_row(make):
+    """A mapInArrow function from one over rows; what a row needed is free before the next is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            out = make(row)
+            if out is not None:
+                yield out
+
+    return run
+
+
 def to_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
@@ -194,20 +206,19 @@ class SuffixLevels:
         """Sorted heads of each block by shard; a: heads, b: which of them two documents of the block hold."""
         bits, shards = self.bits, self.shards
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows_of(batches):
-                x = Block(row, 64 - bits)
-                order, new = groups(x.head)
-                first = np.flatnonzero(new)
-                if not len(first):
-                    continue
-                doc = x.doc[order]
-                many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-                heads = x.head[order][first]
-                own, edge = dealt(heads, bits, shards)
-                yield to_batch([{"shard": int(s), "kind": "new", "block": x.id, "level": -1, "a": pack(heads[i:j], True), "b": np.packbits(many[i:j]).tobytes(), "c": None} for s, i, j in zip(own, edge, edge[1:], strict=False)])
-
-        return blocks.mapInArrow(run, SHARD)
+        def heads_of(row: dict) -> pa.RecordBatch | None:
+            x = Block(row, 64 - bits)
+            order, new = groups(x.head)
+            first = np.flatnonzero(new)
+            if not len(first):
+                return None
+            doc = x.doc[order]
+            many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            heads = x.head[order][first]
+            own, edge = dealt(heads, bits, shards)
+            return to_batch([{"shard": int(s), "kind": "new", "block": x.id, "level": -1, "a": pack(heads[i:j], True), "b": np.packbits(many[i:j]).tobytes(), "c": None} for s, i, j in zip(own, edge, edge[1:], strict=False)])
+
+        return blocks.mapInArrow(by_row(heads_of), SHARD)
 
     def add_batch(self, blocks: DataFrame) -> None:
         """Scan the arrays of new blocks against each level, mark shared heads, and merge levels of equal size."""
@@ -268,23 +279,24 @@ class SuffixLevels:
         found = self.spark.read.schema(SHARD).parquet(*self.flags).where("kind = 'flag'") if self.flags else self.spark.createDataFrame([], SHARD)
         return found.groupBy("block").agg(F.collect_list("a").alias("marks"))
 
-    def resolve(self) -> DataFrame:
-        """doc_id, spans (start and length of removed bytes, in order), kept (binary), n_bytes."""
+    def resolve(self, text: bool = False) -> DataFrame:
+        """doc_id, n_bytes, spans (start and length of removed bytes, in order), and kept (binary) or, if asked for, text:
+        what is kept without the characters of which a byte is removed."""
         bits, shards, spark = self.bits, self.shards, self.spark
+        last = "text" if text else "kept"
 
-        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows_of(batches):
-                x = Block(row, 64 - bits)
-                x.pick(find(np.sort(np.concatenate([unpack(m, True) for m in row["marks"]])), x.head)[1])
-                run = x.runs()
-                order, new = groups(x.head, run)
-                first = np.flatnonzero(new)
-                if not len(first):
-                    continue
-                doc = np.minimum.reduceat(x.doc[order], first)
-                head, run = x.head[order][first], run[order][first]
-                own, edge = dealt(head, bits, shards)
-                yield to_batch([{"shard": int(s), "kind": "run", "block": x.id, "level": -1, "a": pack(head[i:j], True), "b": pack(run[i:j]), "c": pack(doc[i:j].view(np.uint64))} for s, i, j in zip(own, edge, edge[1:], strict=False)])
+        def marked(row: dict) -> pa.RecordBatch | None:
+            x = Block(row, 64 - bits)
+            x.pick(find(np.sort(np.concatenate([unpack(m, True) for m in row["marks"]])), x.head)[1])
+            run = x.runs()
+            order, new = groups(x.head, run)
+            first = np.flatnonzero(new)
+            if not len(first):
+                return None
+            doc = np.minimum.reduceat(x.doc[order], first)
+            head, run = x.head[order][first], run[order][first]
+            own, edge = dealt(head, bits, shards)
+            return to_batch([{"shard": int(s), "kind": "run", "block": x.id, "level": -1, "a": pack(head[i:j], True), "b": pack(run[i:j]), "c": pack(doc[i:j].view(np.uint64))} for s, i, j in zip(own, edge, edge[1:], strict=False)])
 
         def first_runs(group: pa.Table) -> pa.Table:
             """For each block its runs with the smallest doc_id that has them; b of odd value: the head has other runs."""
@@ -314,7 +326,7 @@ class SuffixLevels:
         def by_block(rows: DataFrame, name: str) -> DataFrame:
             return rows.groupBy("block").agg(F.collect_list(F.struct("a", "b", "c")).alias(name))
 
-        runs = self.blocks().join(self.marks(), "block").mapInArrow(marked, SHARD)
+        runs = self.blocks().join(self.marks(), "block").mapInArrow(by_row(marked), SHARD)
         runs = stored(runs.groupBy("shard").applyInArrow(first_runs, SHARD), "runs")
 
         def known(x: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -332,22 +344,21 @@ class SuffixLevels:
             covered = least[at].view(np.int64) < x.doc
             return covered, ~covered & (other[at] == 1)
 
-        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows_of(batches):
-                x = Block(row, 64 - bits)
-                _, look = known(x, row)
-                _, one, two, doc = x.strings(np.flatnonzero(look))
-                order, new = groups(one, two)
-                first = np.flatnonzero(new)
-                if not len(first):
-                    continue
-                # A string that several documents of the block hold goes with its smallest and its largest doc_id.
-                least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
-                twice = 1 + (most > least)
-                one, two, doc = np.repeat(one[order][first], twice), np.repeat(two[order][first], twice), np.repeat(least, twice)
-                doc[np.cumsum(twice) - 1] = most
-                own, edge = dealt(one, 64, shards)
-                yield to_batch([{"shard": int(s), "kind": "string", "block": x.id, "level": -1, "a": pack(one[i:j], True), "b": pack(two[i:j]), "c": pack(doc[i:j].view(np.uint64))} for s, i, j in zip(own, edge, edge[1:], strict=False)])
+        def single(row: dict) -> pa.RecordBatch | None:
+            x = Block(row, 64 - bits)
+            _, look = known(x, row)
+            _, one, two, doc = x.strings(np.flatnonzero(look))
+            order, new = groups(one, two)
+            first = np.flatnonzero(new)
+            if not len(first):
+                return None
+            # A string that several documents of the block hold goes with its smallest and its largest doc_id.
+            least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+            twice = 1 + (most > least)
+            one, two, doc = np.repeat(one[order][first], twice), np.repeat(two[order][first], twice), np.repeat(least, twice)
+            doc[np.cumsum(twice) - 1] = most
+            own, edge = dealt(one, 64, shards)
+            return to_batch([{"shard": int(s), "kind": "string", "block": x.id, "level": -1, "a": pack(one[i:j], True), "b": pack(two[i:j]), "c": pack(doc[i:j].view(np.uint64))} for s, i, j in zip(own, edge, edge[1:], strict=False)])
 
         def repeated(group: pa.Table) -> pa.Table:
             """For each block its strings that a smaller doc_id also has."""
@@ -368,53 +379,53 @@ class SuffixLevels:
             return pa.Table.from_pylist(out, schema=SCHEMA)
 
         with_runs = self.blocks().join(by_block(runs, "runs"), "block")
-        strings = stored(with_runs.mapInArrow(single, SHARD).groupBy("shard").applyInArrow(repeated, SHARD), "strings")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows_of(batches):
-                x = Block(row, 64 - bits)
-                covered, look = known(x, row)
-                begin, size = x.start[covered], x.count[covered] + LENGTH - 1
-                parts = row["strings"] or []
-                if parts and look.any():
-                    one, two, least = (np.concatenate([unpack(p[k]) for p in parts]) for k in "abc")
-                    order = np.argsort(one)
-                    at, mine, second, doc = x.strings(np.flatnonzero(look))
-                    to, hit = find(one[order], mine)
-                    to = order[to]
-                    hit &= (two[to] == second) & (least[to].view(np.int64) < doc)
-                    begin, size = np.append(begin, at[hit]), np.append(size, np.full(int(hit.sum()), LENGTH))
-                order = np.argsort(begin, kind="stable")
-                begin, end = begin[order], (begin + size)[order]
-                # Touching ranges of one document are one run of removed bytes; those of two documents stay apart.
-                doc = np.searchsorted(x.offsets, begin, side="right")
-                reach = np.maximum.accumulate(end) if len(end) else end
-                new = np.ones(len(begin), bool)
-                new[1:] = (begin[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                begin, end, doc = begin[first], np.maximum.reduceat(end, first) if len(first) else end, doc[first] - 1
-                keep = np.ones(x.n, bool)
-                keep[ranges(begin, end - begin)] = False
-                kept = x.data[: x.n][keep].tobytes()
-                edge = np.append(0, np.cumsum(keep))[x.offsets].tolist()
-                spans = np.searchsorted(doc, np.arange(len(x.doc_ids) + 1))
-                inner = pa.StructArray.from_arrays([pa.array(begin - x.offsets[doc], pa.int64()), pa.array(end - begin, pa.int64())], ["start", "length"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(x.offsets), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(spans, pa.int32()), inner),
-                    pa.array([kept[i:j] for i, j in zip(edge, edge[1:], strict=False)], pa.binary()),
-                ], ["doc_id", "n_bytes", "spans", "kept"])
+        strings = stored(with_runs.mapInArrow(by_row(single), SHARD).groupBy("shard").applyInArrow(repeated, SHARD), "strings")
+
+        def cut(row: dict) -> pa.RecordBatch | None:
+            x = Block(row, 64 - bits)
+            covered, look = known(x, row)
+            begin, size = x.start[covered], x.count[covered] + LENGTH - 1
+            parts = row["strings"] or []
+            if parts and look.any():
+                one, two, least = (np.concatenate([unpack(p[k]) for p in parts]) for k in "abc")
+                order = np.argsort(one)
+                at, mine, second, doc = x.strings(np.flatnonzero(look))
+                to, hit = find(one[order], mine)
+                to = order[to]
+                hit &= (two[to] == second) & (least[to].view(np.int64) < doc)
+                begin, size = np.append(begin, at[hit]), np.append(size, np.full(int(hit.sum()), LENGTH))
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], (begin + size)[order]
+            # Touching ranges of one document are one run of removed bytes; those of two documents stay apart.
+            doc = np.searchsorted(x.offsets, begin, side="right")
+            reach = np.maximum.accumulate(end) if len(end) else end
+            new = np.ones(len(begin), bool)
+            new[1:] = (begin[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            begin, end, doc = begin[first], np.maximum.reduceat(end, first) if len(first) else end, doc[first] - 1
+            keep = np.ones(x.n, bool)
+            keep[ranges(begin, end - begin)] = False
+            kept = x.data[: x.n][keep].tobytes()
+            edge = np.append(0, np.cumsum(keep))[x.offsets].tolist()
+            spans = np.searchsorted(doc, np.arange(len(x.doc_ids) + 1))
+            inner = pa.StructArray.from_arrays([pa.array(begin - x.offsets[doc], pa.int64()), pa.array(end - begin, pa.int64())], ["start", "length"])
+            own = [kept[i:j] for i, j in zip(edge, edge[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(x.offsets), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(spans, pa.int32()), inner),
+                pa.array([b.decode("utf-8", "ignore") for b in own], pa.string()) if text else pa.array(own, pa.binary()),
+            ], ["doc_id", "n_bytes", "spans", last])
 
         blocks = self.blocks().join(by_block(runs, "runs"), "block", "left").join(by_block(strings, "strings"), "block", "left")
-        return blocks.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
+        return blocks.mapInArrow(by_row(cut), f"doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, {last} {'string' if text else 'binary'}")
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, spans, kept: bytes of a document without the 50-byte strings that also start in a smaller doc_id."""
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, block_bytes: int = BLOCK_BYTES, text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans, kept (or text): bytes of a document without the 50-byte strings that also start in a smaller doc_id."""
     d = texts(docs)
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     index = SuffixLevels(docs.sparkSession, total, batches, block_bytes)
     index.put(d)
     for k in range(batches):
         index.add_batch(index.blocks().where(F.col("batch") == k))
-    return index.resolve()
+    return index.resolve(text)
