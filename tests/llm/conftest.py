@@ -1,0 +1,6 @@
+import os
+from pathlib import Path
+
+# Python workers of the session find the package by this; it must be set before the session starts.
+ROOT = str(Path(__file__).resolve().parents[2])
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))
