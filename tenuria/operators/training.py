@@ -60,6 +60,10 @@ def training_frame(df: DataFrame, target: str = "churned_in_window") -> tuple[Da
     return frame, names
 
 
+#: Frames hold a row per customer and snapshot.
+ROW_KEY = ("customer_id", "prediction_date")
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """n / (2 * count) per class, an absent class counting as one row; and their ratio."""
     one = F.greatest(F.count_if(F.col(label) == 1), F.lit(1))
@@ -144,7 +148,7 @@ def cross_validate(frame: DataFrame, features: Sequence[str], n_splits: int = 5,
         if not fold.train_end < fold.test_start:
             raise ValueError(f"fold {fold.fold} trains on dates of its test period")
         model = trainer(train, features, **params)
-        row = metrics.evaluate(score(model, test), slots=slots).withColumn("fold", F.lit(fold.fold))
+        row = metrics.evaluate(score(model, test), key=ROW_KEY, slots=slots).withColumn("fold", F.lit(fold.fold))
         out = row if out is None else out.unionByName(row)
     if out is None:
         raise ValueError("the period is too short for any fold")
@@ -164,7 +168,7 @@ def run_metrics(run_id: str, train: DataFrame, validation: DataFrame, scored: Da
     def side(df, name):
         return df.agg(F.count("*").alias(f"n_{name}"), F.avg(F.col("label").cast("double")).alias(f"churn_rate_{name}"))
 
-    values = metrics.evaluate(scored, slots=slots).select("auc_roc", "auc_pr", "precision_at_10pct", "recall", "brier")
+    values = metrics.evaluate(scored, key=ROW_KEY, slots=slots).select("auc_roc", "auc_pr", "precision_at_10pct", "recall", "brier")
     one = lambda df: df.withColumn("run_id", F.lit(run_id))
     return (
         one(side(train, "train"))
