@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenuria.llm import containment, prefix_bpe, simhash, string_kernel, suffix_levels
-from tenuria.llm.frames import table, tokenizer_file
+from tenuria.llm.frames import ship, table, tokenizer_file
 from tenuria.session import stored
 
 
@@ -67,6 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and reread."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenuria.llm import chat, containment, line_blocks, prefix_bpe, projection_ann, simhash, string_kernel, suffix_levels, token_counts, token_planes
-from tenuria.llm.frames import table, tokenizer_file
+from tenuria.llm.frames import ship, table, tokenizer_file
 from tenuria.session import shared_dir, stored
 
 
@@ -73,8 +74,15 @@ def op10_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def shipped(query: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(f) for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
