@@ -77,3 +77,9 @@ MONITOR_THRESHOLDS = {
     "save_rate": ("below", 0.35, 0.25),
 }
 KS_THRESHOLD = 0.1
+
+# Texts of monitoring alerts.
+ALERT_DRIFT = "Feature drift detected (PSI > 0.2)"
+ALERT_MISSING = "Missing rate spike detected (>3%)"
+ALERT_BELOW = "Model performance below threshold (AUC-PR < 0.45)"
+ALERT_DEGRADING = "Model performance degrading (AUC-PR < 0.5)"

@@ -145,10 +145,10 @@ def alerts(daily: DataFrame, date_col: str = "prediction_date", days: int = 7) -
         return F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("alert")))
 
     found = F.array(
-        alert(F.col("psi") > 0.2, "CRITICAL", "Feature drift detected (PSI > 0.2)"),
-        alert(F.col("missing") > 3.0, "WARNING", "Missing rate spike detected (>3%)"),
-        alert(F.col("auc") < 0.45, "CRITICAL", "Model performance below threshold (AUC-PR < 0.45)"),
-        alert((F.col("auc") >= 0.45) & (F.col("auc") < 0.5), "WARNING", "Model performance degrading (AUC-PR < 0.5)"),
+        alert(F.col("psi") > 0.2, "CRITICAL", D.ALERT_DRIFT),
+        alert(F.col("missing") > 3.0, "WARNING", D.ALERT_MISSING),
+        alert(F.col("auc") < 0.45, "CRITICAL", D.ALERT_BELOW),
+        alert((F.col("auc") >= 0.45) & (F.col("auc") < 0.5), "WARNING", D.ALERT_DEGRADING),
     )
     return facts.select(F.explode(F.filter(found, lambda a: a.isNotNull())).alias("a")).select("a.*")
 

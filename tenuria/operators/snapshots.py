@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from tenuria.functions import columns as C
 
-MAX_SNAPSHOTS = 2000  # prediction dates travel as a literal array
-
 
 def as_dates(dates) -> list[dt.date]:
     """One date, ISO string, or a sequence of them -> sorted distinct dates."""
     if isinstance(dates, (str, dt.date)):
         dates = [dates]
     out = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in dates})
-    if not 0 < len(out) <= MAX_SNAPSHOTS:
-        raise ValueError(f"between 1 and {MAX_SNAPSHOTS} prediction dates are supported, got {len(out)}")
+    if not out:
+        raise ValueError("a prediction date is needed")
     return out
 
 

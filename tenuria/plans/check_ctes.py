@@ -40,22 +40,23 @@ def _bronze(base: str, end: str) -> str:
 
 
 def _silver(bronze: str, as_of: str) -> str:
-    addons = "online_security, online_backup, device_protection, tech_support, streaming_tv, streaming_movies"
+    addons = "online_security online_backup device_protection tech_support streaming_tv streaming_movies".split()
+    counted = " + ".join(f"CASE WHEN {a} = 'Yes' THEN 1 ELSE 0 END" for a in addons)
     return f"""
     SELECT customer_id, signup_date, lived AS tenure_days,
-        ['new_user', 'established', 'mature'][1 + (lived > 30)::INT + (lived > 180)::INT] AS cohort,
-        ['smb', 'mid_market', 'enterprise'][1 + (monthly_charges >= 800)::INT + (monthly_charges >= 5000)::INT] AS ltv_tier,
+        CASE WHEN lived <= 30 THEN 'new_user' WHEN lived <= 180 THEN 'established' ELSE 'mature' END AS cohort,
+        CASE WHEN monthly_charges < 800 THEN 'smb' WHEN monthly_charges < 5000 THEN 'mid_market' ELSE 'enterprise' END AS ltv_tier,
         contract_type,
-        COALESCE(MAP {{'One year': 12, 'Two year': 24}}[contract_type], 1) AS contract_months,
+        CASE contract_type WHEN 'One year' THEN 12 WHEN 'Two year' THEN 24 ELSE 1 END AS contract_months,
         monthly_charges, CAST(monthly_charges * 14.4 AS DECIMAL(12,2)) AS estimated_ltv,
-        phone_service IS NOT DISTINCT FROM TRUE AS has_phone,
-        internet_service IN ('DSL', 'Fiber optic') AND internet_service IS NOT NULL AS has_internet,
+        COALESCE(phone_service, FALSE) AS has_phone,
+        internet_service IS NOT NULL AND internet_service <> 'No' AS has_internet,
         NULLIF(internet_service, 'No') AS internet_type,
-        len(list_filter([{addons}], lambda x: x = 'Yes')) AS n_addon_services,
-        paperless_billing IS NOT DISTINCT FROM TRUE AS paperless_billing, payment_method,
-        senior_citizen IS NOT DISTINCT FROM TRUE AS is_senior,
-        partner IS NOT DISTINCT FROM TRUE AS has_partner,
-        dependents IS NOT DISTINCT FROM TRUE AS has_dependents,
+        {counted} AS n_addon_services,
+        COALESCE(paperless_billing, FALSE) AS paperless_billing, payment_method,
+        COALESCE(senior_citizen, FALSE) AS is_senior,
+        COALESCE(partner, FALSE) AS has_partner,
+        COALESCE(dependents, FALSE) AS has_dependents,
         churn_label, churn_date
     FROM (SELECT *, COALESCE(churn_date, DATE '{as_of}') - signup_date AS lived FROM {bronze})"""
 

@@ -53,11 +53,11 @@ query(
     "engagement_windows",
     Check(
         _b_age("""
-        SELECT customer_id, SUM(login_count * (age <= 7)::INT) AS logins_7d, SUM(login_count * (age <= 14)::INT) AS logins_14d,
-            SUM(login_count * (age <= 30)::INT) AS logins_30d, SUM(features_used * (age <= 7)::INT) AS features_used_7d,
-            SUM(features_used * (age <= 30)::INT) AS features_used_30d,
-            SUM(session_duration_minutes * (age <= 7)::INT) AS session_minutes_7d,
-            SUM(session_duration_minutes * (age <= 30)::INT) AS session_minutes_30d FROM x GROUP BY customer_id"""),
+        SELECT customer_id, COALESCE(SUM(login_count) FILTER (WHERE age <= 7), 0) AS logins_7d, COALESCE(SUM(login_count) FILTER (WHERE age <= 14), 0) AS logins_14d,
+            COALESCE(SUM(login_count) FILTER (WHERE age <= 30), 0) AS logins_30d, COALESCE(SUM(features_used) FILTER (WHERE age <= 7), 0) AS features_used_7d,
+            COALESCE(SUM(features_used) FILTER (WHERE age <= 30), 0) AS features_used_30d,
+            COALESCE(SUM(session_duration_minutes) FILTER (WHERE age <= 7), 0) AS session_minutes_7d,
+            COALESCE(SUM(session_duration_minutes) FILTER (WHERE age <= 30), 0) AS session_minutes_30d FROM x GROUP BY customer_id"""),
         f"customer_id {_WINDOW_COLUMNS}", "session_minutes_7d session_minutes_30d",
     ),
 )(_engagement((*_WINDOW_COLUMNS.split(), "session_minutes_7d", "session_minutes_30d")))
@@ -85,12 +85,12 @@ query(
 )(_engagement(("days_since_last_login", "days_since_last_feature_use")))
 
 _B_WEEKS = _b_age("""
-    SELECT customer_id, SUM(login_count * (age <= 7)::INT) AS w1, SUM(login_count * (age BETWEEN 8 AND 14)::INT) AS w2,
-        SUM(login_count * (age BETWEEN 15 AND 21)::INT) AS w3, SUM(login_count * (age BETWEEN 22 AND 28)::INT) AS w4,
-        SUM(features_used * (age <= 7)::INT) AS f1, SUM(features_used * (age BETWEEN 8 AND 14)::INT) AS f2,
-        SUM(features_used * (age BETWEEN 15 AND 21)::INT) AS f3, SUM(features_used * (age BETWEEN 22 AND 28)::INT) AS f4,
-        SUM(session_duration_minutes * (age <= 7)::INT) AS m1, SUM(session_duration_minutes * (age BETWEEN 8 AND 14)::INT) AS m2,
-        SUM(features_used * (age <= 14)::INT) AS f14, SUM(session_duration_minutes * (age <= 14)::INT) AS m14,
+    SELECT customer_id, COALESCE(SUM(login_count) FILTER (WHERE age <= 7), 0) AS w1, COALESCE(SUM(login_count) FILTER (WHERE age BETWEEN 8 AND 14), 0) AS w2,
+        COALESCE(SUM(login_count) FILTER (WHERE age BETWEEN 15 AND 21), 0) AS w3, COALESCE(SUM(login_count) FILTER (WHERE age BETWEEN 22 AND 28), 0) AS w4,
+        COALESCE(SUM(features_used) FILTER (WHERE age <= 7), 0) AS f1, COALESCE(SUM(features_used) FILTER (WHERE age BETWEEN 8 AND 14), 0) AS f2,
+        COALESCE(SUM(features_used) FILTER (WHERE age BETWEEN 15 AND 21), 0) AS f3, COALESCE(SUM(features_used) FILTER (WHERE age BETWEEN 22 AND 28), 0) AS f4,
+        COALESCE(SUM(session_duration_minutes) FILTER (WHERE age <= 7), 0) AS m1, COALESCE(SUM(session_duration_minutes) FILTER (WHERE age BETWEEN 8 AND 14), 0) AS m2,
+        COALESCE(SUM(features_used) FILTER (WHERE age <= 14), 0) AS f14, COALESCE(SUM(session_duration_minutes) FILTER (WHERE age <= 14), 0) AS m14,
         COUNT(*) FILTER (WHERE age <= 30 AND login_count > 0) AS active
     FROM x GROUP BY customer_id""")
 
