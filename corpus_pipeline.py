@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenuria.llm import containment, prefix_bpe, simhash, string_kernel, suffix_levels
-from tenuria.llm.frames import ship, table, tokenizer_file
+from tenuria.llm.frames import id_key, ship, table, tokenizer_file
 from tenuria.session import stored
 
 
@@ -28,23 +28,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near duplicates the document with the smallest doc_id."""
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("kept_id")).distinct()
+    return docs.join(kept, id_key() == F.col("kept_id"), "left_semi")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that a smaller doc_id also has; characters of which a byte is cut go whole. Documents of which
     nothing is left go."""
-    cut = suffix_levels.remove_repeats(docs, text=True).select(F.col("doc_id").alias("own_id"), F.col("text").alias("left_text"))
+    cut = suffix_levels.remove_repeats(docs, text=True).select(id_key().alias("own_id"), F.col("text").alias("left_text"))
     rest = docs.drop("text").dropDuplicates(["doc_id"])
-    joined = cut.where(F.trim("left_text") != "").join(rest, F.col("own_id").eqNullSafe(F.col("doc_id")))
+    joined = cut.where(F.trim("left_text") != "").join(rest, F.col("own_id") == id_key())
     return joined.withColumn("text", F.col("left_text")).withColumn("n_chars", F.length("left_text").cast("long")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold 80 % of the five-word shingles of a benchmark item."""
-    found = containment.contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    found = containment.contained(docs, table(spark, sf_dir, "benchmark")).select(id_key().alias("found_id")).distinct()
+    return docs.join(found, id_key() == F.col("found_id"), "left_anti")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenuria.llm.frames import id_key
 from tenuria.session import stored
 
 WORDS = 5
@@ -63,10 +64,12 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int
     hashes = d.select("doc_id", F.explode(shingled(F.col("words"), hashed, k)).alias("hash"))
     pairs = stored(hashes.join(marks.select("hash", "item_id"), "hash").select("doc_id", "item_id").distinct())
     wanted = marks.select("item_id", "item_shingles", "need").distinct()
-    full = pairs.join(wanted, pairs["item_id"].eqNullSafe(wanted["item_id"])).select(pairs["doc_id"].alias("of"), pairs["item_id"], "item_shingles", "need")
-    checked = d.join(full, F.col("doc_id").eqNullSafe(F.col("of"))).select(
+    # Texts are joined as they are, with ids alone, and are split into words only where they are compared.
+    near = pairs.select(id_key().alias("of"), id_key("item_id").alias("found"))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near, id_key() == F.col("of"))
+    checked = held.join(wanted, F.col("found") == id_key("item_id")).select(
         "doc_id", "item_id", F.size("item_shingles").alias("n_item"), "need",
-        F.size(F.array_intersect("item_shingles", shingled(F.col("words"), joined, k))).alias("n_shared"))
+        F.size(F.array_intersect("item_shingles", shingled(words(F.col("text")), joined, k))).alias("n_shared"))
     # Rows of one doc_id are one document for the result; the fullest of them counts.
     return checked.where("n_shared >= need").groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).select(
         "doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"),

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAD = 64
@@ -39,6 +39,11 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def id_key(key: str = "doc_id") -> Column:
+    """The id for joins: a null one becomes the smallest number, so that null meets null by a plain long key."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+
+
 def tokenizer_file(path: str | None = None) -> str:
     """The tokenizer's JSON, read on the driver: a file of fixed size, which the tasks get as a broadcast value."""
     if path is None:

@@ -191,9 +191,9 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, m: int = PROJECTION
         if queries.num_rows and rows.num_rows:
             x = unit(matrix(rows.column("vector").combine_chunks()))
             tree = Leaf(x, x @ way)
-            asked_ = unit(matrix(queries.column("query").combine_chunks()))
+            wanted = unit(matrix(queries.column("query").combine_chunks()))
             ids = rows.column("ids").to_pylist()
-            for h1, h2, q, bound in zip(queries.column("h1").to_pylist(), queries.column("h2").to_pylist(), asked_, queries.column("bound").to_pylist(), strict=True):
+            for h1, h2, q, bound in zip(queries.column("h1").to_pylist(), queries.column("h2").to_pylist(), wanted, queries.column("bound").to_pylist(), strict=True):
                 found, cosine = tree.search(q, q @ way, k + 1, bound, limit)
                 out += [(h1, h2, vec_id, float(c)) for i, c in zip(found.tolist(), cosine.tolist(), strict=True) for vec_id in ids[i]]
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]

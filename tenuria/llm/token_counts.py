@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tenuria.llm.frames import slices, texts, utf8
 from tenuria.llm.wordmemo import library_memo
+from tenuria.session import stored
 
 CACHE = "tokenizer string, digest string, n_tokens long"
 
@@ -55,6 +56,7 @@ def token_counts(docs: DataFrame, cache: str, config: str, limit: int = 512) ->
 
     new = chosen.select("digest", "text").mapInArrow(count, "digest string, n_tokens long")
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = stored_counts(spark, cache, version)
+    # Written first: Spark can then split a hot content of this join among tasks.
+    counts = stored(stored_counts(spark, cache, version))
     return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

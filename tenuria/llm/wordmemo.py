@@ -64,13 +64,13 @@ class Splitter:
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = int(offsets[-1])
-        b = data[:n]
-        start = np.zeros(n + 4, bool)
         if not n:
             return np.zeros(0, np.int64)
+        b = data[:n]
+        start = np.zeros(n + 4, bool)
         kind = BYTES[b]
-        for p in (np.flatnonzero(b == 0xC2),):
-            kind[p] = kind[p + 1] = LATIN[b[p + 1]]
+        p = np.flatnonzero(b == 0xC2)
+        kind[p] = kind[p + 1] = LATIN[b[p + 1]]
         p = np.flatnonzero(b == 0xC3)
         p = p[(b[p + 1] == 0x97) | (b[p + 1] == 0xB7)]
         kind[p] = kind[p + 1] = OTHER
@@ -80,11 +80,14 @@ class Splitter:
             kind[p] = kind[p + 1] = kind[p + 2] = OTHER
         first, full = np.zeros(n + 1, bool), np.diff(offsets) > 0
         first[offsets[:-1][full]] = True
+        # A word starts where the kind changes, but a single space before it belongs to it; of white space before
+        # a word, the last character stands apart.
         space = kind == SPACE
         start[1:n] = np.where(space[1:], ~space[:-1], (kind[1:] != kind[:-1]) & (b[:-1] != 32))
         before = space[:-1] & ~space[1:] & ~first[1:n]
         start[:-5][before] = True
         start[:n] |= first[:n]
+        # An apostrophe that starts a word takes the letters of a contraction with it.
         p = np.flatnonzero(b == 39)
         p = p[start[p]]
         if len(p):

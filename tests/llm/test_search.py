@@ -39,11 +39,6 @@ def test_containment_stays_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def plain_language(text):
-    rng = np.random.default_rng(abs(hash(text)) % 2**32)
-    return " ".join(rng.choice(text.split(), 12))
-
-
 def test_language_of_odd_documents(spark):
     words = {"aa": "the and of that with from this have", "bb": "der und die nicht mit von ist ein", "cc": "les des une dans pour que est sur"}
     rng = np.random.default_rng(1)
