@@ -168,7 +168,7 @@ def sampled(rows: DataFrame, n: int) -> DataFrame:
     """lang, h: the n smallest h (by value of its bits) of each language, searched among about 2 n that lie below a bound."""
     bits = F.col("h").bitwiseAND(F.lit((1 << 40) - 1))
     counts = rows.groupBy("lang").agg(F.count("*").alias("of"))
-    few = rows.join(F.broadcast(counts), "lang").where(bits * F.col("of") < F.lit(2.0 * n * (1 << 40))).select("lang", "h").distinct()
+    few = rows.join(F.broadcast(counts), "lang").where(bits.cast("double") * F.col("of") < F.lit(2.0 * n * (1 << 40))).select("lang", "h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(bits, "h"))
     return few.withColumn("place", place).where(F.col("place") <= n).select("lang", "h")
 
