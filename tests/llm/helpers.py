@@ -1,6 +1,12 @@
 """Small documents with all that an operator must stand: nulls, empty and long texts, copies, clashing columns."""
 
+import os
 import random
+from pathlib import Path
+
+# Python workers of the session find the package by this; test modules are imported before the session starts.
+ROOT = str(Path(__file__).resolve().parents[2])
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))
 
 SMALL = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long, component_id string, ids string"
