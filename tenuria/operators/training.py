@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -28,10 +29,12 @@ GBT = {
     "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8",
     "minInstancesPerNode": 20,
-    "maxIter": 40,
+    "maxIter": 500,
     "seed": 42,
     "cacheNodeIds": False,
 }
+#: With a validation frame, boosting ends after so many rounds in a row that do not lower its loss.
+PATIENCE = 50
 
 
 def encode_categoricals(df: DataFrame) -> DataFrame:
@@ -84,15 +87,39 @@ def positive_scale(frame: DataFrame) -> float:
     return float(class_weights(frame).first()["scale_pos_weight"])
 
 
-def train_gbt(frame: DataFrame, features: Sequence[str], validation: DataFrame | None = None, **params) -> PipelineModel:
-    """Boosted trees; with a validation frame boosting stops when it no longer improves."""
+def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """The round (from 1) with the smallest loss, looking no further than `patience` rounds past the best so far."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if i - best > patience:
+            break
+        if loss < losses[best]:
+            best = i
+    return best + 1
+
+
+def train_gbt(frame: DataFrame, features: Sequence[str], validation: DataFrame | None = None, patience: int = PATIENCE, **params) -> PipelineModel:
+    """Boosted trees; with a validation frame, only those up to the best round by its loss.
+
+    MLlib's own rule stops at the first round that gains too little. So rounds are fitted until `patience` of them bring nothing (each
+    fit has twice the rounds of the one before), and the best number once more: a round depends on the seed and those before it.
+    """
     weighted = with_row_weights(frame, positive_scale(frame))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="row_weight", **{**GBT, **params})
-    if validation is not None:
-        held = with_row_weights(validation, 1.0).withColumn("is_validation", F.lit(True))
-        weighted = weighted.withColumn("is_validation", F.lit(False)).unionByName(held)
-        gbt = gbt.setValidationIndicatorCol("is_validation")
-    return _fit(weighted, features, [gbt])
+    values = {**GBT, **params}
+    limit = values.pop("maxIter")
+
+    def fit(rounds: int) -> PipelineModel:
+        return _fit(weighted, features, [GBTClassifier(featuresCol="features", labelCol="label", weightCol="row_weight", maxIter=rounds, **values)])
+
+    if validation is None:
+        return fit(limit)
+    held, rounds = with_row_weights(validation, 1.0), min(limit, 2 * patience)
+    while True:
+        model = fit(rounds)
+        best = best_round(model.stages[-1].evaluateEachIteration(model.stages[0].transform(held)), patience)
+        if best + patience <= rounds or rounds == limit:
+            return model if best == rounds else fit(best)
+        rounds = min(limit, 2 * rounds)
 
 
 def train_logistic(frame: DataFrame, features: Sequence[str], **params) -> PipelineModel:
@@ -137,8 +164,9 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark) ->
 
 
 def cross_validate(frame: DataFrame, features: Sequence[str], n_splits: int = 5, trainer=train_gbt, slots: Slots | None = None,
-                   test_days: int = 30, **params) -> DataFrame:
-    """One row of metrics per temporal fold; the loop is over fits, each of them distributed."""
+                   test_days: int = 30, stop_days: int = 0, **params) -> DataFrame:
+    """One row of metrics per temporal fold; the loop is over fits, each of them distributed. With stop_days, the last days of
+    a fold's training period are the trainer's validation frame."""
     folds = splits.ts_folds(frame, n_splits=n_splits, test_days=test_days)
     out = None
     for fold in folds:
@@ -147,7 +175,11 @@ def cross_validate(frame: DataFrame, features: Sequence[str], n_splits: int = 5,
         test = frame.where((d >= C.day(fold.test_start)) & (d <= C.day(fold.test_end)))
         if not fold.train_end < fold.test_start:
             raise ValueError(f"fold {fold.fold} trains on dates of its test period")
-        model = trainer(train, features, **params)
+        if stop_days:
+            early = d <= C.day(fold.train_end - dt.timedelta(days=stop_days))
+            model = trainer(train.where(early), features, train.where(~early), **params)
+        else:
+            model = trainer(train, features, **params)
         row = metrics.evaluate(score(model, test), key=ROW_KEY, slots=slots).withColumn("fold", F.lit(fold.fold))
         out = row if out is None else out.unionByName(row)
     if out is None:

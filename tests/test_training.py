@@ -122,3 +122,36 @@ def test_importance_lists_every_feature(spark, fitted):
     got = rows(training.feature_importance(model, names, spark))
     assert {r["feature"] for r in got} == set(names)
     assert sum(r["importance"] for r in got) == pytest.approx(1.0)
+
+
+def test_registered_models_use_the_library_configuration(monkeypatch, fitted):
+    from tenuria.plans import training_queries
+
+    frame, names, _ = fitted
+    assert training.GBT["maxIter"] == 500 and training.PATIENCE == 50
+    calls, old = [], frame.withColumn("prediction_date", F.expr("add_months(prediction_date, -305)"))
+    monkeypatch.setattr(training, "train_gbt", lambda train, names, held=None, **params: calls.append((held is not None and held.count() > 0, params)))
+    training_queries._model(old, names)
+    monkeypatch.setattr(training_queries, "_settled", lambda spark, d: (frame, names))
+
+    def trainer(train, names, held=None, **params):
+        calls.append((train.count() > 0 and held is not None and held.count() > 0, params))
+        return training.train_logistic(train, names, maxIter=2)
+
+    whole = training.cross_validate
+    monkeypatch.setattr(training, "cross_validate", lambda *args, **params: whole(*args, trainer=trainer, **params))
+    assert rows(training_queries.cv_temporal(frame.sparkSession, ""))[0]["n_folds"] == 5
+    assert calls == [(True, {})] * 6
+
+
+def test_boosting_goes_on_past_a_round_without_gain(fitted):
+    assert training.best_round([3, 2, 2.5, 2.4, 1, 1.5, 1.2, 1.1, 0.5], 3) == 5
+    assert training.best_round([3, 2, 1], 3) == 3 and training.best_round([1, 2, 3], 1) == 1
+    frame, names, _ = fitted
+    train, held = frame.where("customer_id % 4 > 0"), frame.where("customer_id % 4 = 0")
+    params = {"maxIter": 12, "maxDepth": 2, "minInstancesPerNode": 5}
+    whole = training.train_gbt(train, names, **params)
+    losses = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(training.with_row_weights(held, 1.0)))
+    model = training.train_gbt(train, names, held, patience=2, **params)
+    assert model.stages[-1].getNumTrees == training.best_round(losses, 2)
+    assert model.stages[-1].toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0] == whole.stages[-1].toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0]
