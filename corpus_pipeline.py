@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows the stage before has kept, and returns a DataFrame, which is written
 as Parquet and reread as the next one's docs. All but the last return the columns of documents.
 
-Defined results: rows whose text is null or has no letter go in the first stage; of rows without doc_id, those stay whose
-group has no row with one; rows that repeat a doc_id count as one document; an empty table gives no rows.
+Defined results: rows whose text is null or has no letter go in the first stage; each row without doc_id is a document of its
+own, which comes after all with one; rows that repeat a doc_id count as one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenuria.llm import containment, prefix_bpe, simhash, string_kernel, suffix_levels
-from tenuria.llm.frames import id_key, ship, table, tokenizer_file
+from tenuria.llm.frames import ship, table, tokenizer_file
 from tenuria.session import stored
 
+KEY = "row_key"
+NO_ID = suffix_levels.NO_ID
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a known language; the model learns from a bounded sample of the labelled rows."""
@@ -25,26 +28,55 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return string_kernel.identify(docs, model).where(F.col("lang_pred") != string_kernel.UNKNOWN).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key: the doc_id, or for each row without one a number of its own above all doc_ids, fixed by storing those rows."""
+    doc_id = F.col("doc_id").cast("long")
+    top, n = docs.agg(F.max(doc_id), F.count_if(doc_id.isNull())).first()
+    if not n:
+        return docs.withColumn(KEY, doc_id)
+    first = 0 if top is None else top + 1
+    if first + n > NO_ID:
+        raise ValueError(f"{n} rows without doc_id, but fewer numbers above the largest doc_id, {top}")
+    # The id holds the number of the part above 33 bits and the row's place in it below: made dense by the rows of the parts before.
+    lost = stored(docs.where(doc_id.isNull()).withColumn(KEY, F.monotonically_increasing_id()))
+    part, place = F.shiftright(KEY, 33), F.col(KEY).bitwiseAND(F.lit((1 << 33) - 1))
+    starts, at = [], first
+    for r in sorted(lost.groupBy(part.alias("part")).count().collect()):
+        starts.append((r["part"], at))
+        at += r["count"]
+    begins = docs.sparkSession.createDataFrame(starts, "key_part long, key_start long")
+    lost = lost.join(F.broadcast(begins), part == F.col("key_part")).withColumn(KEY, F.col("key_start") + place).drop("key_part", "key_start")
+    return docs.where(doc_id.isNotNull()).withColumn(KEY, doc_id).unionByName(lost)
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """What the operators read, with the key as the id."""
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("kept_id")).distinct()
-    return docs.join(kept, id_key() == F.col("kept_id"), "left_semi")
+    """Keeps of each component of near duplicates the document with the smallest doc_id, or one row where none has a doc_id."""
+    rows = keyed(docs)
+    found = simhash.near_duplicates(by_key(rows))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_key")).distinct()
+    return rows.join(kept, F.col(KEY) == F.col("kept_key"), "left_semi").select(docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that a smaller doc_id also has; characters of which a byte is cut go whole. Documents of which
-    nothing is left go."""
-    cut = suffix_levels.remove_repeats(docs, text=True).select(id_key().alias("own_id"), F.col("text").alias("left_text"))
-    rest = docs.drop("text").dropDuplicates(["doc_id"])
-    joined = cut.where(F.trim("left_text") != "").join(rest, F.col("own_id") == id_key())
+    nothing is left go. Rows without doc_id come after all doc_ids, each a document of its own."""
+    rows = keyed(docs)
+    cut = suffix_levels.remove_repeats(by_key(rows), text=True).select(F.col("doc_id").alias("own_key"), F.col("text").alias("left_text"))
+    rest = rows.drop("text").dropDuplicates([KEY])
+    joined = cut.where(F.trim("left_text") != "").join(rest, F.col("own_key") == F.col(KEY))
     return joined.withColumn("text", F.col("left_text")).withColumn("n_chars", F.length("left_text").cast("long")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold 80 % of the five-word shingles of a benchmark item."""
-    found = containment.contained(docs, table(spark, sf_dir, "benchmark")).select(id_key().alias("found_id")).distinct()
-    return docs.join(found, id_key() == F.col("found_id"), "left_anti")
+    rows = keyed(docs)
+    found = containment.contained(by_key(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_key")).distinct()
+    return rows.join(found, F.col(KEY) == F.col("found_key"), "left_anti").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,40 @@ def test_odd_and_empty_documents(spark):
             docs = stored(stage(spark, docs, SMALL))
             assert docs.count() <= n
             n = docs.count()
+
+
+PROSE = "the quick brown fox jumps over the lazy dog while seven grey geese fly south past old stone towers near quiet rivers and green hills".split()
+
+
+def prose(seed, n=60):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join(rng.choice(PROSE) + str(rng.randint(0, 99)) for _ in range(n))
+
+
+def rows_without_ids(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_each_row_without_id_is_decided_alone(spark):
+    item = table(spark, SMALL, "benchmark").where("text IS NOT NULL").first().text
+    clean = [(None, prose(k), f"s{k}") for k in range(4)]
+    docs = rows_without_ids(spark, [(None, f"{prose(50)} {item} {prose(51)}", "bad"), *clean, (7, prose(60), "s7")])
+    kept = corpus_pipeline.decontamination(spark, docs, SMALL)
+    assert sorted(r.source for r in kept.collect()) == ["s0", "s1", "s2", "s3", "s7"] and kept.columns == docs.columns
+
+
+def test_one_row_of_each_group_without_ids_stays(spark):
+    copies = [(None, prose(1), "a"), (None, prose(1).upper(), "a"), (None, prose(1), "a"), (None, prose(2), "b"), (None, prose(3), "c"), (5, prose(3), "five"), (9, prose(3), "nine")]
+    kept = corpus_pipeline.near_dedup(spark, rows_without_ids(spark, copies), SMALL).collect()
+    assert sorted(r.source for r in kept) == ["a", "b", "five"]
+
+
+def test_rows_without_ids_keep_their_own_columns(spark):
+    shared = prose(80)
+    docs = rows_without_ids(spark, [(None, prose(k), f"s{k}") for k in range(5)] + [(None, shared, "x"), (None, shared, "x"), (2**62, prose(70), "s70")])
+    kept = corpus_pipeline.passage_dedup(spark, docs, SMALL).collect()
+    assert sorted((r.source, r.text) for r in kept) == sorted([(f"s{k}", prose(k)) for k in (*range(5), 70)] + [("x", shared)])
+    keys = [r.row_key for r in corpus_pipeline.keyed(docs).collect()]
+    assert sorted(keys) == list(range(2**62, 2**62 + 8))
