@@ -5,7 +5,7 @@ canonical turns (role, text). The template marks each turn; control strings insi
 backslashes before a control string becomes one of 2k + 1. The loss mask is a list of spans, one per assistant text.
 
 Defined results: null roles and texts are empty; a record of an unknown layout, or no JSON, has null turns and its layout is
-reported; turns are ordered by (turn, role, text), a null turn first; repeated rows repeat; an empty table gives no rows.
+reported; texts and records may have any length that a string of Spark can have; turns are ordered by (turn, role, text), a null turn first; repeated rows repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,15 @@ MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "syste
 OTHER = ("[ROLE ", " [/ROLE]")
 CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE"
 
+#: Spark's variants hold 128 MB and its JSON strings 20 million characters; longer records lose their texts before they are
+#: fingerprinted, and the parser of the turns has no bound.
+LONG = 4_000_000
+BROKEN = "_unread"
+UNBOUNDED = {"maxStringLen": str(2**31 - 1), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+#: A JSON string with the colon of a key after it, or another. Possessive throughout: no backtracking, no deep recursion.
+_BODY = r"[^\"\\]*+(?:\\.[^\"\\]*+)*+"
+STRING = rf'(?s)("{_BODY}"\s*+:)|(")(?:{_BODY})(")'
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -36,11 +45,17 @@ class Mapping:
 
     def schema(self) -> str:
         if self.items:
-            return f"struct<{self.items}:array<struct<{self.role}:string,{self.text}:string>>>"
-        return f"struct<{','.join(f'{name}:string' for _, name in self.fields)}>"
+            return f"struct<{self.items}:array<struct<{self.role}:string,{self.text}:string>>,{BROKEN}:string>"
+        return f"struct<{','.join(f'{name}:string' for _, name in self.fields)},{BROKEN}:string>"
 
     def turns(self, record: Column) -> Column:
-        r = F.from_json(record, self.schema())
+        return F.get(F.transform(F.array(F.from_json(record, self.schema(), UNBOUNDED)), self.turns_of), F.lit(0))
+
+    def turns_of(self, r: Column) -> Column:
+        """Turns of a parsed record, null if it could not be read."""
+        return F.when(r[BROKEN].isNull(), self.every(r))
+
+    def every(self, r: Column) -> Column:
         if not self.items:
             return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(r[name], F.lit("")).alias("text")) for role, name in self.fields])
 
@@ -70,6 +85,7 @@ LAYOUTS = {
 
 def layout(record: Column) -> Column:
     """Nested field paths of a JSON text, without the types of its leaves; null if it is no JSON."""
+    record = F.when(F.length(record) > LONG, F.regexp_replace(record, STRING, "$1$2$3")).otherwise(record)
     return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9,]+\))?", "")
 
 

@@ -108,6 +108,23 @@ def test_layouts(spark):
     assert got == {0: [("user", "q"), ("assistant", "")], 1: [], 2: qa, 3: qa, 4: qa, 5: qa, 6: [("system", "s"), ("user", "i"), ("assistant", "a")], 7: None, 90: None, 91: None}
 
 
+def test_chat_of_long_texts(spark, monkeypatch):
+    df = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.explode(F.expr("array(0L, 1L)")).alias("turn")).select(
+        "conv_id", "turn", F.when(F.col("turn") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("turn") == 0, 'say "x":\n').otherwise(F.repeat(F.lit('a"\\\n:'), 4_100_000)).alias("text"))
+    got = chat.canonical(chat.records(df)).select("layout", F.transform("turns", lambda t: F.struct(t["role"], F.length(t["text"]).alias("n"), F.md5(t["text"]).alias("hash"))).alias("turns")).collect()
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in got] == [
+        ("OBJECT<prompt, response>", [("user", 9, digest('say "x":\n')), ("assistant", 20_500_000, digest('a"\\\n:' * 4_100_000))])]
+    monkeypatch.setattr(chat, "LONG", 0)  # records of any length go the long way
+    test_layouts(spark)
+    for text in ('{"prompt": "q", "response": "\\q"}', '{"prompt": "q", "response": "a"'):
+        assert chat.canonical(spark.createDataFrame([(text,)], "record string")).first().turns is None
+    nested = spark.createDataFrame([('{"a\\"b": [{"c:": "x\\"y\\\\", "d" : ["e", "f:"]}, 5, "g"]}',)], "record string")
+    slim = nested.select(chat.layout(F.col("record"))).first()[0]
+    monkeypatch.setattr(chat, "LONG", 1000)
+    assert slim == nested.select(chat.layout(F.col("record"))).first()[0] is not None
+
+
 def test_chat_empty_and_native(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.formatted(chat.canonical(chat.records(none))).count() == 0
