@@ -73,9 +73,9 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 80 % of the five-word shingles of a benchmark item."""
+    """Drops documents that hold 80 % of the five-word shingles of a benchmark item, or all words of a shorter one in a row."""
     rows = keyed(docs)
-    found = containment.contained(by_key(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_key")).distinct()
+    found = containment.contained(by_key(rows), table(spark, sf_dir, "benchmark"), short=True).select(F.col("doc_id").alias("found_key")).distinct()
     return rows.join(found, F.col(KEY) == F.col("found_key"), "left_anti").select(docs.columns)
 
 

@@ -34,6 +34,17 @@ def test_containment(spark):
     assert containment.contained(empty(spark), bench).count() == containment.contained(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):
+    items = ["Alpha, beta gamma! delta", "omega", "beta gamma", "one two three four five six", "东京大学在哪里", "ไม่รู้", None]
+    texts = [
+        "so alpha beta gamma delta epsilon zeta", "alpha beta", "Omega", "x omega omega " * 40, "alphabeta gamma delta", "betas gamma",
+        "zero one two three four five six", "one two three four five", "请问东京大学在哪里呢", "东京在哪里", "เขาไม่รู้อะไร", "", None, "omegas beta-gamma.",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in containment.contained(documents(spark, texts), bench, short=True).collect()}
+    assert got == {(0, 0, 1, 1), (0, 2, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1), (6, 3, 2, 2), (8, 4, 3, 3), (10, 5, 1, 1), (13, 2, 1, 1)}
+
+
 def test_containment_stays_native(spark):
     plan = queries.op7_containment(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
