@@ -21,7 +21,8 @@ NO_ID = suffix_levels.NO_ID
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a known language; the model learns from a bounded sample of the labelled rows."""
+    """Drops documents without a letter, the only ones that are "und": any other gets a known language, whatever its score. The
+    model learns from a bounded sample of the labelled rows."""
     model = string_kernel.fit(docs)
     if model is None:  # nothing is labelled, so only texts without letters are rejected
         return docs.where(string_kernel.letters(F.col("text")) != "")

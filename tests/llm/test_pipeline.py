@@ -6,6 +6,7 @@ from test_dedup import brute_components, brute_cut, brute_fingerprint
 from test_search import shingles
 from tokenizers import Tokenizer
 
+from tenuria.llm import string_kernel
 from tenuria.llm.frames import table, tokenizer_file
 from tenuria.session import stored
 
@@ -90,3 +91,11 @@ def test_rows_without_ids_keep_their_own_columns(spark):
     assert sorted((r.source, r.text) for r in kept) == sorted([(f"s{k}", prose(k)) for k in (*range(5), 70)] + [("x", shared)])
     keys = [r.row_key for r in corpus_pipeline.keyed(docs).collect()]
     assert sorted(keys) == list(range(2**62, 2**62 + 8))
+
+
+def test_language_stage_predicts_the_labels(spark, monkeypatch):
+    docs, seen, identify = table(spark, SMALL, "documents"), [], string_kernel.identify
+    monkeypatch.setattr(string_kernel, "identify", lambda rows, model: seen.append(identify(rows, model)) or seen[0])
+    corpus_pipeline.language_id(spark, docs, SMALL)
+    pairs = [(r.lang, r.lang_pred) for r in seen[0].where("lang IS NOT NULL AND lang_pred <> 'und'").collect()]
+    assert len({p for _, p in pairs}) > 1 and sum(a == b for a, b in pairs) >= 0.98 * len(pairs)
