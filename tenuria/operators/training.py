@@ -1,42 +1,29 @@
-"""Model preparation, training and scoring with MLlib."""
+"""Model preparation, training and scoring: boosted trees (boosting) and MLlib's logistic regression."""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenuria import defaults as D
 from tenuria.functions import columns as C
-from tenuria.operators import metrics, splits
+from tenuria.operators import boosting, metrics, splits
 from tenuria.operators.ranking import Slots
+from tenuria.session import settle
 
 EXCLUDED = frozenset(
     "customer_id prediction_date churned_in_window churn_date sample_weight cohort ltv_tier contract_type".split()
 )
 
-# Boosting parameters; MLlib has no leaf limit and no L1/L2 penalty.
-GBT = {
-    "stepSize": 0.05,
-    "maxDepth": 6,
-    "subsamplingRate": 0.8,
-    "featureSubsetStrategy": "0.8",
-    "minInstancesPerNode": 20,
-    "maxIter": 500,
-    "seed": 42,
-    "cacheNodeIds": False,
-}
-#: With a validation frame, boosting ends after so many rounds in a row that do not lower its loss.
-PATIENCE = 50
-
-
 def encode_categoricals(df: DataFrame) -> DataFrame:
     """Add *_encoded columns for the categorical columns present."""
     codes = {"cohort": D.COHORT_CODES, "ltv_tier": D.TIER_CODES, "contract_type": D.CONTRACT_CODES}
@@ -87,39 +74,12 @@ def positive_scale(frame: DataFrame) -> float:
     return float(class_weights(frame).first()["scale_pos_weight"])
 
 
-def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
-    """The round (from 1) with the smallest loss, looking no further than `patience` rounds past the best so far."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if i - best > patience:
-            break
-        if loss < losses[best]:
-            best = i
-    return best + 1
-
-
-def train_gbt(frame: DataFrame, features: Sequence[str], validation: DataFrame | None = None, patience: int = PATIENCE, **params) -> PipelineModel:
-    """Boosted trees; with a validation frame, only those up to the best round by its loss.
-
-    MLlib's own rule stops at the first round that gains too little. So rounds are fitted until `patience` of them bring nothing (each
-    fit has twice the rounds of the one before), and the best number once more: a round depends on the seed and those before it.
-    """
-    weighted = with_row_weights(frame, positive_scale(frame))
-    values = {**GBT, **params}
-    limit = values.pop("maxIter")
+Model = boosting.Boosted | PipelineModel
 
-    def fit(rounds: int) -> PipelineModel:
-        return _fit(weighted, features, [GBTClassifier(featuresCol="features", labelCol="label", weightCol="row_weight", maxIter=rounds, **values)])
 
-    if validation is None:
-        return fit(limit)
-    held, rounds = with_row_weights(validation, 1.0), min(limit, 2 * patience)
-    while True:
-        model = fit(rounds)
-        best = best_round(model.stages[-1].evaluateEachIteration(model.stages[0].transform(held)), patience)
-        if best + patience <= rounds or rounds == limit:
-            return model if best == rounds else fit(best)
-        rounds = min(limit, 2 * rounds)
+def train_gbt(frame: DataFrame, features: Sequence[str], validation: DataFrame | None = None, **params) -> boosting.Boosted:
+    """Boosted trees; average precision of a validation frame stops them and cuts them to the best round. Positives weigh n0 / n1 more."""
+    return boosting.fit(frame, features, validation, **params)
 
 
 def train_logistic(frame: DataFrame, features: Sequence[str], **params) -> PipelineModel:
@@ -137,14 +97,16 @@ def _fit(frame: DataFrame, features: Sequence[str], stages) -> PipelineModel:
     return Pipeline(stages=[assembler, *stages]).fit(frame)
 
 
-def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
+def score(model: Model, frame: DataFrame) -> DataFrame:
     """Add score = P(churn); working vector columns are dropped."""
+    if isinstance(model, boosting.Boosted):
+        return boosting.score(model, frame)
     out = model.transform(frame)
     drop = [c for c in ("features", "scaled", "rawPrediction", "probability", "prediction") if c in out.columns]
     return out.withColumn("score", vector_to_array("probability")[1]).drop(*drop)
 
 
-def batch_score(model: PipelineModel, frame: DataFrame) -> DataFrame:
+def batch_score(model: Model, frame: DataFrame) -> DataFrame:
     """Scored snapshot with risk level and intervention priority (probability x tier weight)."""
     return score(model, frame).withColumns(
         {"risk_level": C.risk_level("score"), "intervention_priority": priority("score", "ltv_tier")}
@@ -155,36 +117,41 @@ def priority(probability, tier) -> Column:
     return C.col(probability) * C.sample_weight(tier)
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
-    """(feature, importance): one row per model feature."""
-    last = model.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-    rows = [(f, float(v)) for f, v in zip(features, values, strict=True)]
+def feature_importance(model: Model, features: Sequence[str], spark) -> DataFrame:
+    """(feature, importance): one row per model feature; shares of the gain of all splits, or sizes of coefficients."""
+    if isinstance(model, boosting.Boosted):
+        rows = [(f, share) for f, share, _ in boosting.importance(model)]
+    else:
+        values = abs(model.stages[-1].coefficients.toArray())
+        rows = [(f, float(v)) for f, v in zip(features, values, strict=True)]
     return spark.createDataFrame(rows, "feature STRING, importance DOUBLE").orderBy(F.desc("importance"), "feature")
 
 
 def cross_validate(frame: DataFrame, features: Sequence[str], n_splits: int = 5, trainer=train_gbt, slots: Slots | None = None,
                    test_days: int = 30, stop_days: int = 0, **params) -> DataFrame:
-    """One row of metrics per temporal fold; the loop is over fits, each of them distributed. With stop_days, the last days of
-    a fold's training period are the trainer's validation frame."""
+    """One row of metrics per temporal fold. With stop_days, the last days of a fold's training period stop its boosting.
+
+    Boosted folds grow in the same jobs; another trainer fits one fold after another. All test rows are evaluated in one plan.
+    """
     folds = splits.ts_folds(frame, n_splits=n_splits, test_days=test_days)
-    out = None
+    if not folds:
+        raise ValueError("the period is too short for any fold")
+    d = F.col("prediction_date")
+    fits, tests = [], []
     for fold in folds:
-        d = F.col("prediction_date")
-        train = frame.where((d >= C.day(fold.train_start)) & (d <= C.day(fold.train_end)))
-        test = frame.where((d >= C.day(fold.test_start)) & (d <= C.day(fold.test_end)))
         if not fold.train_end < fold.test_start:
             raise ValueError(f"fold {fold.fold} trains on dates of its test period")
-        if stop_days:
-            early = d <= C.day(fold.train_end - dt.timedelta(days=stop_days))
-            model = trainer(train.where(early), features, train.where(~early), **params)
-        else:
-            model = trainer(train, features, **params)
-        row = metrics.evaluate(score(model, test), key=ROW_KEY, slots=slots).withColumn("fold", F.lit(fold.fold))
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("the period is too short for any fold")
-    return out
+        train, early = (d >= C.day(fold.train_start)) & (d <= C.day(fold.train_end)), d <= C.day(fold.train_end - dt.timedelta(days=stop_days))
+        fits.append(boosting.Fit(train & early, train & ~early) if stop_days else boosting.Fit(train))
+        tests.append((d >= C.day(fold.test_start)) & (d <= C.day(fold.test_end)))
+    if trainer is train_gbt:
+        models = boosting.fit_many(frame, features, fits, ROW_KEY, **params)
+    else:
+        held = [(frame.where(f.validation),) if stop_days else () for f in fits]
+        models = [trainer(frame.where(f.train), features, *v, **params) for f, v in zip(fits, held, strict=True)]
+    keep = ("customer_id", "prediction_date", "label", "score")
+    scored = [score(m, frame.where(t)).select(*keep, F.lit(f.fold).alias("fold")) for m, t, f in zip(models, tests, folds, strict=True)]
+    return metrics.evaluate(settle(reduce(DataFrame.unionByName, scored)), ["fold"], key=ROW_KEY, slots=slots)
 
 
 def cv_summary(per_fold: DataFrame, names: Sequence[str] = ("auc_pr", "precision_at_10pct", "recall")) -> DataFrame:
@@ -222,11 +189,37 @@ def promotion_gate(candidate: DataFrame, champion: DataFrame, min_auc_pr: float
     return joined.withColumns({"passes_floors": floors, "beats_champion": beats, "promote": floors & beats})
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist the pipeline; the assembler stage carries the ordered feature list."""
-    model.write().overwrite().save(path)
+# -- runs and models on disk -----------------------------------------------------------
+
+
+def append_run(row: DataFrame, path: str, promoted: bool = False) -> None:
+    """Append a row of metrics with its run_id to the run table at `path`; nothing there is rewritten."""
+    row.withColumns({"promoted": F.lit(promoted), "recorded_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run table: a run id that was recorded again counts once, with its latest row."""
+    table = spark.read.option("mergeSchema", True).parquet(path)
+    rest = F.struct("recorded_at", *[c for c in sorted(table.columns) if c not in ("run_id", "recorded_at")])
+    return table.groupBy("run_id").agg(F.max(rest).alias("_row")).select("run_id", "_row.*")
+
+
+def champion(spark: SparkSession, path: str) -> DataFrame:
+    """The promoted run with the greatest auc_pr, ties to the smallest run_id; no row where none is promoted."""
+    return runs(spark, path).where("promoted").orderBy(F.desc("auc_pr"), "run_id").limit(1)
+
+
+def save_model(model: Model, path: str) -> None:
+    """Persist a model with its ordered feature list (of a pipeline, in its assembler stage)."""
+    if isinstance(model, boosting.Boosted):
+        boosting.save(model, SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> tuple[PipelineModel, list[str]]:
+def load_model(path: str, boosted: bool = True) -> tuple[Model, list[str]]:
+    if boosted:
+        model = boosting.load(SparkSession.active(), path)
+        return model, list(model.features)
     model = PipelineModel.load(path)
     return model, list(model.stages[0].getInputCols())

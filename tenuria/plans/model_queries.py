@@ -190,6 +190,7 @@ _ASSIGNED = """
     SELECT s.*, fold, CASE WHEN prediction_date BETWEEN train_start AND train_end THEN 'train' ELSE 'test' END AS role
     FROM a_scored_all s JOIN folds ON prediction_date BETWEEN train_start AND train_end OR prediction_date BETWEEN test_start AND test_end"""
 _F = (("folds", _FOLDS), ("assigned", _ASSIGNED))
+FOLDS = (("folds", _FOLDS),)
 
 
 def _assigned(spark, d):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,7 @@ def local_session(name: str = "tenuria", cores: str = "*", partitions: int = 8)
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -63,15 +66,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors the package's code, once per application, as --py-files would: tasks import it."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId not in _SHIPPED and package.is_dir():
+        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+        _SHIPPED.add(sc.applicationId)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints of frames and RDDs go to the shared folder."""
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that an iterative job reads many times.
 
     Uses a reliable checkpoint, so a lost executor costs a re-read, not a recomputation.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

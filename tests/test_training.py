@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tenuria.operators import training, tree_contributions
+from tenuria.operators import boosting, training, tree_contributions
 from tenuria.session import settle
 
 
@@ -24,7 +24,7 @@ def fitted(spark):
     ).withColumn("churned_in_window", (F.col("a") > 60) & (F.col("b") > 6) | (F.col("c") == 3) & (F.col("a") < 20))
     frame, names = training.training_frame(df)
     frame = settle(frame)
-    return frame, names, training.train_gbt(frame, names, maxIter=4, maxDepth=3, minInstancesPerNode=5)
+    return frame, names, training.train_gbt(frame, names, rounds=4, max_depth=3, min_rows=5)
 
 
 def test_training_frame_features(fitted):
@@ -110,13 +110,6 @@ def test_batch_score_and_gate(spark, fitted):
     assert gate(one(0.7, 0.7), one(0.6, 0.7).where("false"))
 
 
-def test_validation_frame_stops_boosting_early(fitted):
-    frame, names, _ = fitted
-    train, held = frame.where("customer_id % 4 > 0"), frame.where("customer_id % 4 = 0")
-    model = training.train_gbt(train, names, held, maxIter=6, maxDepth=2, validationTol=0.5)
-    assert model.stages[-1].getNumTrees <= 6
-
-
 def test_importance_lists_every_feature(spark, fitted):
     _, names, model = fitted
     got = rows(training.feature_importance(model, names, spark))
@@ -124,34 +117,84 @@ def test_importance_lists_every_feature(spark, fitted):
     assert sum(r["importance"] for r in got) == pytest.approx(1.0)
 
 
-def test_registered_models_use_the_library_configuration(monkeypatch, fitted):
-    from tenuria.plans import training_queries
+def test_registered_models_use_the_library_configuration():
+    p = boosting.Params()
+    assert (p.rounds, p.patience, p.max_depth, p.max_leaves, p.min_rows, p.learning_rate) == (500, 50, 6, 31, 20, 0.05)
+
+
+SMALL = {"max_depth": 4, "max_leaves": 9, "min_rows": 5, "bins": 32}
+
+
+def same(a, b):
+    assert len(a.trees) == len(b.trees) and a.bias == pytest.approx(b.bias)
+    for s, t in zip(a.trees, b.trees, strict=True):
+        assert s.feature.tolist() == t.feature.tolist() and s.threshold.tolist() == t.threshold.tolist()
+        assert np.allclose(s.value, t.value, rtol=1e-9)
 
+
+def test_levels_and_tasks_grow_the_same_trees_and_folds_grow_as_alone(fitted):
+    frame, names, _ = fitted
+    fits = [boosting.Fit(F.col("customer_id") % 4 > i, F.col("customer_id") % 4 == i) for i in (0, 1)]
+    apart = [boosting.fit_many(frame, names, fits, rounds=5, patience=9, in_task=n, **SMALL) for n in (boosting.IN_TASK, 90, 0)]
+    for pair in zip(*apart, strict=True):
+        same(pair[0], pair[1]), same(pair[0], pair[2])
+        assert pair[0].validation == pytest.approx(pair[2].validation) and len(pair[0].validation) == 5
+    assert all(np.count_nonzero(t.feature < 0) <= 9 for m in apart[0] for t in m.trees)
+
+
+def test_a_fit_goes_on_from_a_model(fitted):
     frame, names, _ = fitted
-    assert training.GBT["maxIter"] == 500 and training.PATIENCE == 50
-    calls, old = [], frame.withColumn("prediction_date", F.expr("add_months(prediction_date, -305)"))
-    monkeypatch.setattr(training, "train_gbt", lambda train, names, held=None, **params: calls.append((held is not None and held.count() > 0, params)))
-    training_queries._model(old, names)
-    monkeypatch.setattr(training_queries, "_settled", lambda spark, d: (frame, names))
+    fits = [boosting.Fit(F.lit(True))]
+    begun = boosting.fit_many(frame, names, fits, rounds=3, **SMALL)
+    same(boosting.fit_many(frame, names, fits, start=begun, rounds=6, **SMALL)[0], boosting.fit_many(frame, names, fits, rounds=6, **SMALL)[0])
 
-    def trainer(train, names, held=None, **params):
-        calls.append((train.count() > 0 and held is not None and held.count() > 0, params))
-        return training.train_logistic(train, names, maxIter=2)
 
-    whole = training.cross_validate
-    monkeypatch.setattr(training, "cross_validate", lambda *args, **params: whole(*args, trainer=trainer, **params))
-    assert rows(training_queries.cv_temporal(frame.sparkSession, ""))[0]["n_folds"] == 5
-    assert calls == [(True, {})] * 6
+def test_first_split_is_the_best_of_all(fitted):
+    frame, names, _ = fitted
+    model = boosting.fit(frame, names, rounds=1, max_depth=1, row_share=1.0, feature_share=1.0, min_rows=20, bins=128)
+    data = frame.select(*names, "label").toPandas()
+    y = data["label"].to_numpy()
+    w = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    chance = 1 / (1 + np.exp(-model.bias))
+    assert chance == pytest.approx((w * y).sum() / w.sum())
+    g, h = w * (chance - y), w * chance * (1 - chance)
+    gain = lambda m: max(abs(g[m].sum()) - 0.1, 0) ** 2 / (h[m].sum() + 0.1)
+    best = max((gain(x <= t) + gain(x > t) - gain(x == x), n) for n in names for x in [data[n].to_numpy()] for t in np.unique(x)
+               if min((x <= t).sum(), (x > t).sum()) >= 20)
+    tree = model.trees[0]
+    assert names[tree.feature[0]] == best[1] and tree.gain[0] == pytest.approx(best[0])
+
+
+def test_boosting_stops_after_patience_and_keeps_the_best_round(fitted):
+    frame, names, _ = fitted
+    noise = frame.withColumn("label", (F.xxhash64("customer_id") % 2 == 0).cast("int"))
+    model = boosting.fit(noise.where("customer_id % 4 > 0"), names, noise.where("customer_id % 4 = 0"), patience=3, **SMALL)
+    best = int(np.argmax(model.validation))
+    assert len(model.trees) == best + 1 and len(model.validation) == best + 4 < 500
 
 
-def test_boosting_goes_on_past_a_round_without_gain(fitted):
-    assert training.best_round([3, 2, 2.5, 2.4, 1, 1.5, 1.2, 1.1, 0.5], 3) == 5
-    assert training.best_round([3, 2, 1], 3) == 3 and training.best_round([1, 2, 3], 1) == 1
+def test_one_class_nulls_and_empty_frames(spark, fitted):
     frame, names, _ = fitted
-    train, held = frame.where("customer_id % 4 > 0"), frame.where("customer_id % 4 = 0")
-    params = {"maxIter": 12, "maxDepth": 2, "minInstancesPerNode": 5}
-    whole = training.train_gbt(train, names, **params)
-    losses = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(training.with_row_weights(held, 1.0)))
-    model = training.train_gbt(train, names, held, patience=2, **params)
-    assert model.stages[-1].getNumTrees == training.best_round(losses, 2)
-    assert model.stages[-1].toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0] == whole.stages[-1].toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0]
+    one = boosting.fit(frame.withColumn("label", F.lit(0)), names, rounds=3)
+    assert one.trees == () and one.bias == pytest.approx(0.0)
+    empty = boosting.fit(frame.where("false"), names, rounds=3)
+    assert empty.trees == () and rows(boosting.score(empty, frame.limit(1)))[0]["score"] == pytest.approx(0.5)
+    holes = frame.withColumn("a", F.when(F.col("a") > 50, F.col("a")))
+    scored = boosting.score(boosting.fit(holes, names, rounds=2, **SMALL), holes)
+    assert scored.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
+def test_average_precision_of_cells():
+    cells = np.array([[2, 0], [3, 1], [1, 1]])  # from the lowest cell: rows, positives
+    assert boosting.average_precision(cells) == pytest.approx(0.5 * 1 + 0.5 * 2 / 4)
+    assert boosting.average_precision(np.zeros((3, 2))) == 0.0
+
+
+def test_run_table_counts_a_run_once_and_names_the_champion(spark, tmp_path):
+    row = lambda name, v: spark.createDataFrame([(name, v)], "run_id STRING, auc_pr DOUBLE")
+    path = str(tmp_path / "runs")
+    for name, v, promoted in (("a", 0.4, True), ("b", 0.9, False), ("a", 0.5, True), ("c", 0.3, True)):
+        training.append_run(row(name, v), path, promoted)
+    assert [(r["run_id"], r["auc_pr"]) for r in rows(training.runs(spark, path), "run_id")] == [("a", 0.5), ("b", 0.9), ("c", 0.3)]
+    assert [r["run_id"] for r in rows(training.champion(spark, path))] == ["a"]
+    assert rows(training.champion(spark, path).where("run_id = 'z'")) == []
