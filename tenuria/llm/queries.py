@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenuria.llm import chat, containment, line_blocks, prefix_bpe, projection_ann, simhash, string_kernel, suffix_levels, token_counts, token_planes
+from tenuria.llm import chat, chosen_path, containment, line_blocks, middle_fill, prefix_bpe, projection_ann, simhash, string_kernel, suffix_levels, token_counts, token_planes, whitening
 from tenuria.llm.frames import ship, table, tokenizer_file
 from tenuria.session import shared_dir, stored
 
@@ -74,6 +74,20 @@ def op10_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_middle_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = middle_fill.transformed(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(middle_fill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(query: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

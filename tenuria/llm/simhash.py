@@ -74,7 +74,8 @@ def links(marks: DataFrame, distance: int = DISTANCE) -> DataFrame:
     probes = marks.select(fp.alias("a"), F.explode(sides).alias("s")).select("a", "s", F.explode(ball).alias("flip")).select(
         "a", (F.col("s.value").bitwiseXOR(F.col("flip")) * 2 + F.col("s.side")).alias("bucket"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return probes.join(tables, (probes["bucket"] == tables["bucket"]) & near).select("a", "b").distinct()
+    # Spark takes the probes for as small as the file they are exploded from, and would broadcast them.
+    return probes.hint("merge").join(tables, (probes["bucket"] == tables["bucket"]) & near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
