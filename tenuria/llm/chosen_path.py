@@ -3,13 +3,14 @@
 A document's set is that of its distinct word shingles. Documents of one set are one record, with a signature of COORDINATES minwise
 tokens. A tree branches a record at each node along a minwise token: the node chooses one coordinate of the signature, in a quarter of
 the nodes two (1.25 = 1 / 0.8 on average, so that a pair at the threshold keeps one common branch), and the record goes to the child of
-that coordinate and its token there. After DEPTH levels nodes of at most NODE records are compared exhaustively; larger ones pair each
-record with their first one and go on for DEPTH more levels, twice. What is larger still is split by the classes found so
-far: a node of one class has nothing left to find, and of any other node the records outside its largest class meet all of it.
+that coordinate and its token there. After DEPTH levels each record of a node is paired with the node's first one, and nodes of more
+than NODE records go on for DEPTH more levels, twice. Links among these pairs give classes. A node of one class has nothing left to find, so groups
+of near copies are never paired within. Other nodes are compared exhaustively, but only between classes: small ones as a whole, larger
+ones in chunks of the records outside their largest class, each against the whole node.
 
 A pair at similarity 0.8 keeps a common branch over four levels in 0.577 of the trees, so TREES = 20 trees miss 0.423^20 = 3e-8 of such
 pairs, and fewer above. The signature rules out pairs 5.6 deviations below the threshold; the rest are confirmed on their full sets
-(64-bit hashes of the shingles), first one pair per record, then those that still join two classes.
+(64-bit hashes of the shingles), first one pair per record, then those that still join two classes. Full sets are made of those records only.
 
 Defined results: a null text is empty; a text without words is linked with nothing and is its own component; fewer words than a shingle
 are one shingle; repeated rows share a component; component_id is the smallest non-null doc_id reachable, null if there is none; kept is
@@ -134,13 +135,6 @@ def branch(rows: DataFrame, levels: int = DEPTH) -> DataFrame:
     return rows.select("sid", "signature", *(["node"] if begun else [])).mapInArrow(run, "sid long, node long")
 
 
-def pairs_of_nodes(rows: DataFrame) -> DataFrame:
-    """a < b for all records of nodes; such a node has at most NODE records."""
-    grouped = rows.groupBy("node").agg(F.array_sort(F.collect_list("sid")).alias("s"))
-    one = grouped.select("s", F.posexplode("s").alias("at", "a"))
-    return one.select("a", F.explode(F.slice("s", F.col("at") + 2, F.lit(NODE))).alias("b")).distinct()
-
-
 def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in SURE of the coordinates."""
 
@@ -179,31 +173,60 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFra
     return rows.join(found, key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def candidates(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) from small nodes and of large nodes' first records, and the rows of nodes that are still large at the end."""
-    rows, found, large = marks, None, None
+def nodes_of(marks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of each node's first record with its others; the rows (node, sid) of small nodes, and of those still large at the end."""
+    rows, stars, small, large = marks, None, None, None
     for _ in range(ROUNDS):
         nodes = stored(branch(rows))
         sizes = stored(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"))
-        small = pairs_of_nodes(nodes.join(sizes.where(F.col("n") <= NODE).select("node"), "node"))
-        large = nodes.join(sizes.where(F.col("n") > NODE).select("node", "first"), "node")
-        stars = large.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-        found = small.union(stars) if found is None else found.union(small).union(stars)
-        large = stored(large.select("sid", "node"))
+        met = stored(nodes.join(sizes, "node"))
+        pairs = met.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
+        few = met.where(F.col("n") <= NODE).select("node", "sid")
+        stars, small = (pairs, few) if stars is None else (stars.union(pairs), small.union(few))
+        large = met.where(F.col("n") > NODE).select("node", "sid")
         if large.isEmpty():
             break
         rows = large.join(marks.select("sid", "signature"), "sid")
-    return found.distinct(), large
-
-
-def mixed_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different classes in nodes that are still large: records outside a node's largest class with all of the node."""
-    rows = stored(labelled(large, labels, "sid", "label"))
-    counts = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("node").agg(F.max(F.struct("n", "label")).getField("label").alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    few = rows.join(main, "node").where("label <> main").select("node", F.col("sid").alias("x"), F.col("label").alias("x_label"))
-    met = few.join(rows.withColumnRenamed("sid", "y").withColumnRenamed("label", "y_label"), "node").where("x_label <> y_label")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return stars.distinct(), small, large
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two lists (sid, label, sketch): pairs a < b of different classes whose sketches agree, each once a batch."""
+    for batch in batches:
+        found = set()
+        for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            sides = []
+            for side in (left.values, right.values):
+                sketch = np.frombuffer(b"".join(side.field(2).to_pylist()), np.uint8).reshape(len(side), COORDINATES)
+                sides.append((side.field(0).to_numpy(), side.field(1).to_numpy(), sketch))
+            (x, x_label, x_mark), (y, y_label, y_mark) = sides
+            for i in range(len(x)):
+                near = ((x_mark[i] == y_mark).sum(axis=1) >= SURE * COORDINATES) & (y_label != x_label[i])
+                found.update((min(int(x[i]), v), max(int(x[i]), v)) for v in y[near].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def between_classes(rows: DataFrame, labels: DataFrame, marks: DataFrame, whole: bool) -> DataFrame:
+    """Likely pairs (a, b) of different classes in the nodes of `rows`: within whole nodes of at most NODE records, or the records outside
+    a node's largest class, in chunks, against chunks of all its records."""
+    placed = stored(labelled(rows, labels, "sid", "label"))
+    counts = placed.groupBy("node", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    members = F.collect_list(F.struct("sid", "label", "sketch"))
+    mixed = placed.join(main.select("node", F.col("main.label").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("outside")), "node")
+    mixed = stored(mixed.join(marks.select("sid", "sketch"), "sid"))
+    if whole:
+        lists = mixed.groupBy("node").agg(members.alias("x")).select("x", F.col("x").alias("y"))
+    else:
+        chunk = lambda size: F.pmod(F.xxhash64("sid"), F.ceil(F.col(size) / NODE))
+        some = mixed.where("label <> main").groupBy("node", chunk("outside").alias("c")).agg(members.alias("x")).select("node", "x")
+        lists = some.join(mixed.groupBy("node", chunk("n").alias("c")).agg(members.alias("y")).select("node", "y"), "node").select("x", "y")
+    return lists.mapInArrow(_compare, "a long, b long").distinct()
+
+
+def wanted(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """sid, text_key of the records in pairs."""
+    return own.join(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "sid").select("sid", "text_key")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -214,18 +237,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     full = rows.where(F.col("digest").isNotNull())
     own = stored(full.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("signature").alias("signature"),
                                             F.min("sketch").alias("sketch")).withColumn("sid", F.monotonically_increasing_id()))
-    found, large = candidates(own.select("sid", "signature"))
-    pairs = stored(likely(found, own))
-    # Full sets of those records only that have a candidate, each from one of its texts.
-    met = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(large.select("sid")).distinct())
-    sets = stored(sets_of(docs, own.join(met, "sid").select("sid", "text_key")))
+    stars, small, large = nodes_of(own.select("sid", "signature"))
+    pairs = stored(likely(stars, own))
+    sets = stored(sets_of(docs, wanted(pairs, own)))
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
     edges = stored(confirmed(nearest, sets, threshold))
     labels = components(edges, "a", "b")
     apart = labelled(labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").select("a", "b")
-    rest = apart.union(likely(mixed_pairs(large, labels), own)).distinct()
-    more = stored(confirmed(rest, sets, threshold))
-    labels = components(edges.union(more), "a", "b")
+    edges = stored(edges.union(confirmed(apart, sets, threshold)))
+    labels = components(edges, "a", "b")
+    rest = stored(between_classes(small, labels, own, True).union(between_classes(large, labels, own, False)).distinct())
+    if not rest.isEmpty():
+        more = sets_of(docs, wanted(rest, own).join(sets, "sid", "left_anti"))
+        edges = edges.union(stored(confirmed(rest, stored(sets.union(more)), threshold)))
+        labels = components(edges, "a", "b")
     placed = labelled(own.select("sid", "digest", "least"), labels, "sid", "label")
     first = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = placed.join(first, "label").select("digest", "component_id")
