@@ -404,7 +404,12 @@ class SuffixLevels:
             first = np.flatnonzero(new)
             begin, end, doc = begin[first], np.maximum.reduceat(end, first) if len(first) else end, doc[first] - 1
             keep = np.ones(x.n, bool)
-            keep[ranges(begin, end - begin)] = False
+            low, high = begin, end
+            if text:  # to whole characters: a text starts with a first byte, and a first byte or padding follows it
+                inside = ((x.data & 0xC0) == 0x80).astype(np.int64)
+                for _ in range(3):
+                    low, high = low - inside[low], high + inside[high]
+            keep[ranges(low, high - low)] = False
             kept = x.data[: x.n][keep].tobytes()
             edge = np.append(0, np.cumsum(keep))[x.offsets].tolist()
             spans = np.searchsorted(doc, np.arange(len(x.doc_ids) + 1))
@@ -413,7 +418,7 @@ class SuffixLevels:
             return pa.RecordBatch.from_arrays([
                 pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(x.offsets), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(spans, pa.int32()), inner),
-                pa.array([b.decode("utf-8", "ignore") for b in own], pa.string()) if text else pa.array(own, pa.binary()),
+                pa.array([b.decode("utf-8") for b in own], pa.string()) if text else pa.array(own, pa.binary()),
             ], ["doc_id", "n_bytes", "spans", last])
 
         blocks = self.blocks().join(by_block(runs, "runs"), "block", "left").join(by_block(strings, "strings"), "block", "left")

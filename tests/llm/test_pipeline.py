@@ -99,3 +99,27 @@ def test_language_stage_predicts_the_labels(spark, monkeypatch):
     corpus_pipeline.language_id(spark, docs, SMALL)
     pairs = [(r.lang, r.lang_pred) for r in seen[0].where("lang IS NOT NULL AND lang_pred <> 'und'").collect()]
     assert len({p for _, p in pairs}) > 1 and sum(a == b for a, b in pairs) >= 0.98 * len(pairs)
+
+
+def test_cut_characters_go_whole_and_none_is_made(spark):
+    """The second document's first and last letter share a byte each with the first document's."""
+    x = "x" * 48
+    docs = spark.createDataFrame([(1, f"\u00a9{x}\u00e8", "en", "s", 50), (2, f"\u00e9{x}\u00e9 tail", "en", "s", 55)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = by_id(corpus_pipeline.passage_dedup(spark, docs, SMALL))
+    assert got[1].text == f"\u00a9{x}\u00e8" and got[2].text == " tail" and got[2].n_chars == 5
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = "row_key lang_pred score letters_ kept_key own_key left_text found_key doc key_part fingerprint component_id".split()
+    docs = table(spark, SMALL, "documents").limit(60).select("*", *[docs_value(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SMALL))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert docs.count() > 0 and all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names)
+
+
+def docs_value(name):
+    from pyspark.sql import functions as F
+
+    return F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name)
