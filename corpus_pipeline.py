@@ -20,64 +20,71 @@ KEY = "row_key"
 NO_ID = suffix_levels.NO_ID
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, beside which a stage's own columns can't clash with those of docs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, the only ones that are "und": any other gets a known language, whatever its score. The
     model learns from a bounded sample of the labelled rows."""
-    model = string_kernel.fit(docs)
+    model = string_kernel.fit(docs.select("doc_id", "text", "lang"))
+    rows = packed(docs).select("doc", F.col("doc.text").alias("text"), F.col("doc.lang").alias("lang"))
     if model is None:  # nothing is labelled, so only texts without letters are rejected
-        return docs.where(string_kernel.letters(F.col("text")) != "")
-    return string_kernel.identify(docs, model).where(F.col("lang_pred") != string_kernel.UNKNOWN).select(docs.columns)
+        return rows.where(string_kernel.letters(F.col("text")) != "").select("doc.*")
+    return string_kernel.identify(rows, model).where(F.col("lang_pred") != string_kernel.UNKNOWN).select("doc.*")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds row_key: the doc_id, or for each row without one a number of its own above all doc_ids, fixed by storing those rows."""
-    doc_id = F.col("doc_id").cast("long")
-    top, n = docs.agg(F.max(doc_id), F.count_if(doc_id.isNull())).first()
+    """doc and row_key: the doc_id, or for each row without one a number of its own above all doc_ids, fixed by storing those rows."""
+    doc_id = F.col("doc.doc_id").cast("long")
+    top, n = docs.agg(F.max(F.col("doc_id").cast("long")), F.count_if(F.col("doc_id").cast("long").isNull())).first()
+    rows = packed(docs)
     if not n:
-        return docs.withColumn(KEY, doc_id)
+        return rows.withColumn(KEY, doc_id)
     first = 0 if top is None else top + 1
     if first + n > NO_ID:
         raise ValueError(f"{n} rows without doc_id, but fewer numbers above the largest doc_id, {top}")
     # The id holds the number of the part above 33 bits and the row's place in it below: made dense by the rows of the parts before.
-    lost = stored(docs.where(doc_id.isNull()).withColumn(KEY, F.monotonically_increasing_id()))
+    lost = stored(rows.where(doc_id.isNull()).withColumn(KEY, F.monotonically_increasing_id()))
     part, place = F.shiftright(KEY, 33), F.col(KEY).bitwiseAND(F.lit((1 << 33) - 1))
     starts, at = [], first
     for r in sorted(lost.groupBy(part.alias("part")).count().collect()):
         starts.append((r["part"], at))
         at += r["count"]
     begins = docs.sparkSession.createDataFrame(starts, "key_part long, key_start long")
-    lost = lost.join(F.broadcast(begins), part == F.col("key_part")).withColumn(KEY, F.col("key_start") + place).drop("key_part", "key_start")
-    return docs.where(doc_id.isNotNull()).withColumn(KEY, doc_id).unionByName(lost)
+    lost = lost.join(F.broadcast(begins), part == F.col("key_part")).select("doc", (F.col("key_start") + place).alias(KEY))
+    return rows.where(doc_id.isNotNull()).withColumn(KEY, doc_id).unionByName(lost)
 
 
 def by_key(rows: DataFrame) -> DataFrame:
     """What the operators read, with the key as the id."""
-    return rows.select(F.col(KEY).alias("doc_id"), "text")
+    return rows.select(F.col(KEY).alias("doc_id"), F.col("doc.text").alias("text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near duplicates the document with the smallest doc_id, or one row where none has a doc_id."""
     rows = keyed(docs)
     found = simhash.near_duplicates(by_key(rows))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_key")).distinct()
-    return rows.join(kept, F.col(KEY) == F.col("kept_key"), "left_semi").select(docs.columns)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(kept, KEY, "left_semi").select("doc.*")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that a smaller doc_id also has; characters of which a byte is cut go whole. Documents of which
     nothing is left go. Rows without doc_id come after all doc_ids, each a document of its own."""
     rows = keyed(docs)
-    cut = suffix_levels.remove_repeats(by_key(rows), text=True).select(F.col("doc_id").alias("own_key"), F.col("text").alias("left_text"))
-    rest = rows.drop("text").dropDuplicates([KEY])
-    joined = cut.where(F.trim("left_text") != "").join(rest, F.col("own_key") == F.col(KEY))
-    return joined.withColumn("text", F.col("left_text")).withColumn("n_chars", F.length("left_text").cast("long")).select(docs.columns)
+    cut = suffix_levels.remove_repeats(by_key(rows), text=True).select(F.col("doc_id").alias(KEY), F.col("text").alias("left_text"))
+    rest = rows.withColumn("doc", F.col("doc").dropFields("text")).dropDuplicates([KEY])
+    own = {"text": F.col("left_text"), "n_chars": F.length("left_text").cast("long")}
+    return cut.where(F.trim("left_text") != "").join(rest, KEY).select(*[own.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold 80 % of the five-word shingles of a benchmark item, or all words of a shorter one in a row."""
     rows = keyed(docs)
-    found = containment.contained(by_key(rows), table(spark, sf_dir, "benchmark"), short=True).select(F.col("doc_id").alias("found_key")).distinct()
-    return rows.join(found, F.col(KEY) == F.col("found_key"), "left_anti").select(docs.columns)
+    found = containment.contained(by_key(rows), table(spark, sf_dir, "benchmark"), short=True).select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(found, KEY, "left_anti").select("doc.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
