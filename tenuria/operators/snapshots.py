@@ -31,13 +31,44 @@ def dates_array(dates: Sequence[dt.date]) -> Column:
     return F.expr("array(" + ", ".join(f"DATE '{d}'" for d in dates) + ")")
 
 
+class Grid:
+    """Positions of prediction dates at one distance from each other, by arithmetic on days: (first, last) and a sequence between them."""
+
+    def __init__(self, dates: Sequence[dt.date]):
+        self.start, self.step, self.last = dates[0], (dates[1] - dates[0]).days, len(dates) - 1
+
+    @classmethod
+    def of(cls, dates: Sequence[dt.date]) -> Grid | None:
+        return cls(dates) if len({(b - a).days for a, b in zip(dates, dates[1:], strict=False)}) == 1 else None
+
+    def _at(self, day: Column) -> Column:
+        return F.floor(F.datediff(day, C.day(self.start)) / F.lit(float(self.step))).cast("int")
+
+    def after(self, day: Column) -> Column:
+        """Position of the first date after the day."""
+        return F.greatest(F.lit(0), self._at(day) + 1)
+
+    def until(self, day: Column) -> Column:
+        """Position of the last date on or before the day; -1 if there is none."""
+        return F.greatest(F.lit(-1), F.least(F.lit(self.last), self._at(day)))
+
+    def dates(self, first: Column, last: Column) -> Column:
+        """The dates of the positions from first to last; none where last is before first."""
+        day = lambda i: F.date_add(C.day(self.start), (i * self.step).cast("int"))
+        return F.when(first <= last, F.sequence(day(first), day(last), F.expr(f"INTERVAL '{self.step}' DAY")))
+
+
 def expand_base(customers: DataFrame, dates) -> DataFrame:
     """customers x prediction dates on or after signup."""
     dates = as_dates(dates)
     if len(dates) == 1:
         p = C.day(dates[0])
         return customers.where(F.col("signup_date") <= p).withColumn("prediction_date", p)
-    known = F.filter(dates_array(dates), lambda p: p >= F.col("signup_date"))
+    grid = Grid.of(dates)
+    if grid:
+        known = grid.dates(grid.after(F.date_sub("signup_date", 1)), F.lit(grid.last))
+    else:
+        known = F.filter(dates_array(dates), lambda p: p >= F.col("signup_date"))
     return customers.where(F.col("signup_date") <= C.day(dates[-1])).withColumn(
         "prediction_date", F.explode(known)
     )
@@ -61,7 +92,7 @@ def snapshot_aggregate(
 
     With several dates a row joins only the snapshots whose window it falls in, plus its first one;
     lifetime values are then carried forward by a running window over at most len(dates) rows per
-    key. The work is rows x overlapping windows, not rows x dates.
+    key. The work is rows x overlapping windows, not rows x dates: on an even grid the snapshots of a row are found by arithmetic.
     """
     dates = as_dates(dates)
     sums, maxes, mins = dict(lifetime_sums or {}), dict(lifetime_maxes or {}), dict(window_mins or {})
@@ -81,17 +112,17 @@ def snapshot_aggregate(
         )
 
     d = F.col(date_col)
-    later = F.filter(dates_array(dates), lambda p: p > d)
-    within = F.filter(F.col("_later"), lambda p: p <= F.date_add(d, span_days))
-    placed = (
-        rows.where(d < C.day(dates[-1]))
-        .withColumn("_later", later)
-        .withColumn("_first", F.element_at("_later", 1))
-        .withColumn(
-            "prediction_date",
-            F.explode(F.when(F.col("_first") <= F.date_add(d, span_days), within).otherwise(F.array("_first"))),
-        )
-    )
+    grid, reach = Grid.of(dates), F.date_add(d, span_days)
+    if grid:
+        first = grid.after(d)
+        later = grid.dates(first, F.greatest(first, grid.until(reach)))
+        placed = rows.where(d < C.day(dates[-1])).withColumn("_later", later).withColumn("_first", F.element_at("_later", 1))
+        placed = placed.withColumn("prediction_date", F.explode("_later"))
+    else:
+        later = F.filter(dates_array(dates), lambda p: p > d)
+        within = F.filter(F.col("_later"), lambda p: p <= reach)
+        placed = rows.where(d < C.day(dates[-1])).withColumn("_later", later).withColumn("_first", F.element_at("_later", 1))
+        placed = placed.withColumn("prediction_date", F.explode(F.when(F.col("_first") <= reach, within).otherwise(F.array("_first"))))
     age = F.datediff("prediction_date", d)
     opens = F.col("prediction_date") == F.col("_first")
     partial = placed.groupBy(key, "prediction_date").agg(
@@ -112,10 +143,14 @@ def snapshot_aggregate(
         *[F.max(n).over(running).alias(n) for n in maxes],
     )
     # A snapshot without a row of its own has nothing in its windows.
-    holds = F.filter(
-        dates_array(dates),
-        lambda p: (p >= F.col("_own")) & (F.col("_next").isNull() | (p < F.col("_next"))),
-    )
+    if grid:
+        stop = F.coalesce(grid.until(F.date_sub("_next", 1)), F.lit(grid.last))
+        holds = grid.dates(grid.until(F.col("_own")), stop)
+    else:
+        holds = F.filter(
+            dates_array(dates),
+            lambda p: (p >= F.col("_own")) & (F.col("_next").isNull() | (p < F.col("_next"))),
+        )
     filled = carried.withColumnRenamed("prediction_date", "_own").withColumn("prediction_date", F.explode(holds))
     own = F.col("prediction_date") == F.col("_own")
     return filled.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tenuria.functions import columns as C
 from tenuria.operators import declared, metrics, monitoring, playbooks, profiling
 from tenuria.plans.inputs import A_SNAPSHOTS, account_gold, account_tables, activity_gold, activity_tables, scored
-from tenuria.plans.model_queries import GRID, metric_ctes
+from tenuria.plans.model_queries import metric_ctes
 from tenuria.plans.registry import Check, query
 from tenuria.session import stored
 from tenuria.sources import activity
@@ -302,7 +302,7 @@ def mon_psi(spark, d):
         "", "ks", "cohort drifted"),
 )
 def mon_ks(spark, d):
-    return monitoring.ks(_all(spark, d), _baseline(), by=["cohort"], slots=GRID)
+    return monitoring.ks(_all(spark, d), _baseline(), by=["cohort"])
 
 
 @query(
@@ -322,7 +322,7 @@ _DAILY_COLUMNS = "n_samples", "churn_rate auc_pr precision_at_10pct"
 
 @query("mon_model_daily", Check("SELECT *, auc_pr < 0.5 AS below_floor FROM md_out", *_DAILY_COLUMNS, "prediction_date below_floor", _DAILY_METRICS))
 def mon_model_daily(spark, d):
-    return monitoring.model_daily(_all(spark, d), slots=GRID)
+    return monitoring.model_daily(_all(spark, d))
 
 
 @query(
@@ -331,7 +331,7 @@ def mon_model_daily(spark, d):
           metric_ctes("a_scored_all", "cohort, prediction_date", "mc")),
 )
 def mon_cohort_daily(spark, d):
-    return monitoring.model_daily(_all(spark, d), ["cohort", "prediction_date"], 0.4, GRID)
+    return monitoring.model_daily(_all(spark, d), ["cohort", "prediction_date"], 0.4)
 
 
 _BUSINESS = (("business", """
@@ -381,7 +381,7 @@ def _frame(spark, d):
     )
     parts = [
         _psi(rows, ("score",)).drop("metric"),
-        metrics.evaluate(rows, ["prediction_date"], slots=GRID).select("prediction_date", "auc_pr", "brier"),
+        metrics.evaluate(rows, ["prediction_date"]).select("prediction_date", "auc_pr", "brier"),
         _business(rows).select("prediction_date", "save_rate", "intervention_rate"),
         missing,
     ]

@@ -6,15 +6,12 @@ from pyspark.sql import functions as F
 
 from tenuria import defaults as D
 from tenuria.operators import leakage, metrics, splits, thresholds
-from tenuria.operators.ranking import EqualWidth
 from tenuria.plans import inputs
 from tenuria.plans.inputs import A_DATE, A_SNAPSHOTS, account_gold, account_tables, scored
 from tenuria.plans.registry import Check, query
 from tenuria.session import stored
 
 P_A = "DATE '1998-06-01'"
-# The registered score is a grid of a thousand values over [0, 1), so equal-width slots are balanced.
-GRID = EqualWidth(0.0, 1.0, 500)
 
 # -- leakage audit ----------------------------------------------------------------
 
@@ -309,12 +306,12 @@ def confusion_metrics(spark, d):
 
 @query("auc_roc", Check("SELECT auc_roc FROM m_out", "", "auc_roc", extra=_ONE))
 def auc_roc(spark, d):
-    return metrics.ranking_metrics(scored(spark, d), slots=GRID).select("auc_roc")
+    return metrics.ranking_metrics(scored(spark, d)).select("auc_roc")
 
 
 @query("auc_pr", Check("SELECT auc_pr FROM m_out", "", "auc_pr", extra=_ONE))
 def auc_pr(spark, d):
-    return metrics.ranking_metrics(scored(spark, d), slots=GRID).select("auc_pr")
+    return metrics.ranking_metrics(scored(spark, d)).select("auc_pr")
 
 
 @query("brier", Check("SELECT brier FROM m_out", "", "brier", extra=_ONE))
@@ -324,12 +321,12 @@ def brier(spark, d):
 
 @query("precision_at_k", Check("SELECT precision_at_10pct, precision_at_20pct FROM m_out", "", "precision_at_10pct precision_at_20pct", extra=_ONE))
 def precision_at_k(spark, d):
-    return metrics.precision_at(scored(spark, d), slots=GRID).select("precision_at_10pct", "precision_at_20pct")
+    return metrics.precision_at(scored(spark, d)).select("precision_at_10pct", "precision_at_20pct")
 
 
 @query("lift_at_k", Check("SELECT lift_at_10pct, lift_at_20pct FROM m_out", "", "lift_at_10pct lift_at_20pct", extra=_ONE))
 def lift_at_k(spark, d):
-    return metrics.precision_at(scored(spark, d), slots=GRID).select("lift_at_10pct", "lift_at_20pct")
+    return metrics.precision_at(scored(spark, d)).select("lift_at_10pct", "lift_at_20pct")
 
 
 @query(
@@ -337,7 +334,7 @@ def lift_at_k(spark, d):
     Check("SELECT customer_id, score FROM m_ranked WHERE rn <= FLOOR(n * 0.1::DOUBLE)", "customer_id", "score", extra=_ONE),
 )
 def top_k_rows(spark, d):
-    return metrics.top_k(scored(spark, d), [], 0.1, "customer_id", GRID).select("customer_id", "score")
+    return metrics.top_k(scored(spark, d), [], 0.1, "customer_id").select("customer_id", "score")
 
 
 # Several snapshots of a customer: the key of a row is the pair.
@@ -421,7 +418,7 @@ _CURVE = (("curve", """
 
 @query("pr_curve", Check("SELECT * FROM curve", "", "threshold precision recall", extra=(*_ONE, *_CURVE)))
 def pr_curve(spark, d):
-    return thresholds.pr_curve(scored(spark, d), slots=GRID)
+    return thresholds.pr_curve(scored(spark, d))
 
 
 @query(
@@ -432,7 +429,7 @@ def pr_curve(spark, d):
         "", "threshold precision recall f1", extra=(*_ONE, *_CURVE)),
 )
 def threshold_f1(spark, d):
-    return thresholds.best_f1(scored(spark, d), slots=GRID)
+    return thresholds.best_f1(scored(spark, d))
 
 
 @query(
@@ -444,7 +441,7 @@ def threshold_f1(spark, d):
         "", "threshold precision recall f1", extra=(*_ONE, *_CURVE)),
 )
 def threshold_pr_cross(spark, d):
-    return thresholds.precision_recall_crossing(scored(spark, d), slots=GRID)
+    return thresholds.precision_recall_crossing(scored(spark, d))
 
 
 _FINE = _sweep_cte(D.FINE_THRESHOLDS)
@@ -505,12 +502,12 @@ def _segment_check(segment):
 
 @query("eval_by_cohort", _segment_check("cohort"))
 def eval_by_cohort(spark, d):
-    return metrics.evaluate(stored(scored(spark, d)), ["cohort"], slots=GRID)
+    return metrics.evaluate(stored(scored(spark, d)), ["cohort"])
 
 
 @query("eval_by_ltv_tier", _segment_check("ltv_tier"))
 def eval_by_ltv_tier(spark, d):
-    return metrics.evaluate(stored(scored(spark, d)), ["ltv_tier"], slots=GRID)
+    return metrics.evaluate(stored(scored(spark, d)), ["ltv_tier"])
 
 
 def _impact_sql(rows, cut):
@@ -561,7 +558,7 @@ _POINT = "best_point", (
     ),
 )
 def evaluation_report(spark, d):
-    return thresholds.evaluation_report(stored(scored(spark, d)), GRID)
+    return thresholds.evaluation_report(stored(scored(spark, d)))
 
 
 @query(

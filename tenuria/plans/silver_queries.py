@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from tenuria import schemas
 from tenuria.functions import columns as C
 from tenuria.operators import silver
-from tenuria.plans.inputs import account_tables, activity_tables
+from tenuria.plans.inputs import A_SNAPSHOTS, account_gold, account_tables, activity_tables
 from tenuria.plans.registry import Check, query
+from tenuria.session import shared_dir, stored
 from tenuria.sources import accounts, activity, layers, star
 
 ADD_ON = " ".join(silver.ADDON_COLUMNS)
@@ -193,6 +196,88 @@ def json_payload(spark, d):
     return events.select("event_id", payload["k"].alias("k"))
 
 
+# -- round trips ----------------------------------------------------------------
+
+_SEED = {
+    "customer_id": "customerID", "gender": "gender", "senior_citizen": "SeniorCitizen", "partner": "Partner", "internet_service": "InternetService",
+    "streaming_tv": "StreamingTV", "contract_type": "Contract", "monthly_charges": "MonthlyCharges", "churn_label": "Churn",
+}
+
+
+@query(
+    "scan_csv_normalize",
+    Check("SELECT " + ", ".join("CAST(customer_id AS VARCHAR) AS customer_id" if c == "customer_id" else c for c in _SEED) + " FROM a_customers",
+          "", "monthly_charges", " ".join(c for c in _SEED if c != "monthly_charges")),
+)
+def scan_csv_normalize(spark, d):
+    """Customers written with the seed's headers and words, read back with the engine's names and types."""
+    rows, path = account_tables(spark, d).customers, f"{shared_dir(spark)}/seed-{uuid4().hex}"
+    words = lambda c: F.when(F.col(c), "1" if c == "senior_citizen" else "Yes").when(~F.col(c), "0" if c == "senior_citizen" else "No")
+    flags = {f.name for f in rows.schema.fields if f.dataType.simpleString() == "boolean"}
+    layers.write(rows.select(*[(words(c) if c in flags else F.col(c)).alias(n) for c, n in _SEED.items()]), path, "csv")
+    return layers.read_csv_seed(spark, path, "drop")
+
+
+_LAYERED = {"bronze.customers": "a_customers", "bronze.support_tickets": "a_tickets", "silver.customers": "a_silver_customers",
+            "silver.daily_engagement": "a_engagement", "silver.support_tickets": "a_tickets"}
+
+
+@query(
+    "create_layers",
+    Check(" UNION ALL ".join([*[f"SELECT '{t}' AS name, COUNT(*) AS n FROM {c}" for t, c in _LAYERED.items()],
+                              *[f"SELECT '{t}' AS name, 0 AS n" for t in schemas.TABLES if t not in _LAYERED]]), "n", "", "name"),
+)
+def create_layers(spark, d):
+    """All layers created twice and loaded twice: a full refresh leaves one copy of the rows."""
+    t, prefix = account_tables(spark, d), f"run{uuid4().hex[:12]}_"
+    source = {"bronze.customers": t.customers, "bronze.support_tickets": t.tickets, "silver.customers": t.silver_customers,
+              "silver.daily_engagement": t.engagement, "silver.support_tickets": t.silver_tickets}
+    try:
+        for _ in range(2):
+            layers.create_layers(spark, prefix)
+            for name, rows in source.items():
+                layers.load(rows, prefix + name)
+        return stored(layers.table_counts(spark, prefix))
+    finally:
+        layers.drop_layers(spark, prefix)
+
+
+_REPLACED = (A_SNAPSHOTS[18], A_SNAPSHOTS[24])
+
+
+@query(
+    "snapshot_replace",
+    Check("SELECT customer_id, prediction_date, cohort, logins_30d, churned_in_window FROM a_train "
+          f"WHERE prediction_date IN ({', '.join(f'DATE {str(p)!r}' for p in _REPLACED)})", "customer_id logins_30d", "", "prediction_date cohort churned_in_window"),
+)
+def snapshot_replace(spark, d):
+    """Two snapshots with wrong values, then both replaced, then one once more: right rows, each once."""
+    path = f"{shared_dir(spark)}/snapshots-{uuid4().hex}"
+    right = stored(account_gold(spark, d, _REPLACED).select("customer_id", "prediction_date", "cohort", "logins_30d", "churned_in_window"))
+    layers.replace_snapshots_at(right.withColumn("logins_30d", F.col("logins_30d") + 1), path)
+    for rows in (right, right.where(F.col("prediction_date") == C.day(_REPLACED[1]))):
+        layers.replace_snapshots_at(rows, path)
+    return spark.read.schema(right.schema).parquet(path)
+
+
+@query(
+    "sink_parquet_csv_json",
+    Check("SELECT format, contract_type, COUNT(*) AS n, SUM(CAST(monthly_charges AS DECIMAL(12,2))) AS charges, MIN(signup_date) AS first_day "
+          "FROM a_customers, (VALUES ('parquet'), ('csv'), ('json')) f(format) GROUP BY ALL", "n", "charges", "format contract_type first_day"),
+)
+def sink_parquet_csv_json(spark, d):
+    """Customers written twice in each format, partitioned by contract, and read back with their types."""
+    rows = account_tables(spark, d).customers.select("customer_id", "signup_date", F.col("monthly_charges").cast("decimal(12,2)").alias("monthly_charges"), "contract_type")
+    rows, out = stored(rows), None
+    for fmt in ("parquet", "csv", "json"):
+        path = f"{shared_dir(spark)}/sink-{fmt}-{uuid4().hex}"
+        for _ in range(2):
+            layers.write(rows, path, fmt, ["contract_type"])
+        back = spark.read.schema(rows.schema).option("header", True).format(fmt).load(path).withColumn("format", F.lit(fmt))
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy("format", "contract_type").agg(F.count("*").alias("n"), F.sum("monthly_charges").alias("charges"), F.min("signup_date").alias("first_day"))
+
+
 # -- scalar functions ---------------------------------------------------------
 
 # key -> (column builder, kind of output, column of the check CTE)

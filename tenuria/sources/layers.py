@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenuria import schemas
 from tenuria.functions import columns as C
@@ -20,14 +21,22 @@ CSV_NAMES = {"Contract": "contract_type", "Churn": "churn_label"}
 CSV_BOOLEANS = ("senior_citizen", "partner", "dependents", "phone_service", "paperless_billing", "churn_label")
 
 
-def create_layers(spark: SparkSession) -> list[str]:
-    """Create the three databases and seven tables if absent; returns the table names."""
+def create_layers(spark: SparkSession, prefix: str = "") -> list[str]:
+    """Create the three databases and seven tables if absent; returns the table names. A prefix names layers of their own."""
     for layer in LAYERS:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {prefix}{layer}")
     for name, (ddl, partitions) in schemas.TABLES.items():
         by = f" PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{by}")
-    return list(schemas.TABLES)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({ddl}) USING parquet{by}")
+    return [prefix + name for name in schemas.TABLES]
+
+
+def drop_layers(spark: SparkSession, prefix: str) -> None:
+    """Drop the layers of a prefix with their tables and files."""
+    if not prefix:
+        raise ValueError("only layers with a prefix are dropped")
+    for layer in LAYERS:
+        spark.sql(f"DROP DATABASE IF EXISTS {prefix}{layer} CASCADE")
 
 
 def load(df: DataFrame, table: str) -> int:
@@ -39,15 +48,9 @@ def load(df: DataFrame, table: str) -> int:
 
 
 def replace_snapshots(df: DataFrame, table: str = "gold.customer_360") -> None:
-    """Replace exactly the prediction dates present in `df`; a rerun changes nothing."""
-    spark = df.sparkSession
-    name, before = "spark.sql.sources.partitionOverwriteMode", None
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "dynamic")
-    try:
-        align_columns(df, spark.table(table).schema).write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    """Replace exactly the prediction dates present in `df`; a rerun changes nothing. The writer's own option, not the session's."""
+    aligned = align_columns(df, df.sparkSession.table(table).schema)
+    aligned.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
 
 
 def filter_customer_360(gold: DataFrame, prediction_date=None, cohort: str | None = None) -> DataFrame:
@@ -69,10 +72,10 @@ def count_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def table_counts(spark: SparkSession) -> DataFrame:
+def table_counts(spark: SparkSession, prefix: str = "") -> DataFrame:
     """(name, n) of all tables in the three layers."""
-    names = [f"{l}.{t.name}" for l in LAYERS for t in spark.catalog.listTables(l) if not t.isTemporary]
-    return count_rows({n: spark.table(n) for n in names})
+    names = [f"{l}.{t.name}" for l in LAYERS for t in spark.catalog.listTables(prefix + l) if not t.isTemporary]
+    return count_rows({n: spark.table(prefix + n) for n in names})
 
 
 def bucketed(df: DataFrame, table: str, buckets: int, key: str = "customer_id") -> None:
@@ -80,17 +83,36 @@ def bucketed(df: DataFrame, table: str, buckets: int, key: str = "customer_id")
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def replace_snapshots_at(df: DataFrame, path: str, partition: str = "prediction_date") -> None:
+    """The same for files: replaces the partitions present in `df` under `path` and leaves the others."""
+    df.write.partitionBy(partition).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 # -- files ---------------------------------------------------------------------
 
 
-def read_csv_seed(spark: SparkSession, path: str) -> DataFrame:
+BAD = "_bad_record"
+
+
+def read_csv_seed(spark: SparkSession, path: str, bad: str = "keep") -> DataFrame:
     """Raw CSV seed with renamed columns; yes/no text becomes boolean, unknown text NULL.
 
-    Columns are found by header name; everything is read as text, so no inference pass.
+    Columns are found by header name; everything is read as text, so no inference pass. Lines with too few or too many fields: "keep"
+    fills what is there, "drop" leaves them out, "fail" raises, "only" returns nothing but them, as one column of raw lines.
     """
-    raw = spark.read.option("header", True).csv(path)
+    if bad not in ("keep", "drop", "fail", "only"):
+        raise ValueError(f"unknown treatment of bad records {bad!r}")
+    columns = spark.read.option("header", True).csv(path).schema
+    reader = spark.read.option("header", True).option("mode", "FAILFAST" if bad == "fail" else "PERMISSIVE")
+    # Without column pruning a line is checked against all fields, whatever a query reads of it.
+    reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", BAD)
+    raw = reader.schema(columns if bad == "fail" else T.StructType([*columns, T.StructField(BAD, T.StringType())])).csv(path)
+    if bad == "only":
+        return raw.where(F.col(BAD).isNotNull()).select(BAD)
+    if bad == "drop":
+        raw = raw.where(F.col(BAD).isNull())
     out = []
-    for name in raw.columns:
+    for name in columns.names:
         new = CSV_NAMES.get(name) or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()
         c = F.col(f"`{name}`")
         if new in CSV_BOOLEANS:
