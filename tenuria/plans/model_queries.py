@@ -44,12 +44,22 @@ _AUDIT_STATS = """
     FROM audit_long GROUP BY feature"""
 
 
-def _name_rows() -> str:
-    rows = [
-        "(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in (f, c, m, s)) + ")"
-        for f, c, _, m, s in leakage.name_findings(AUDITED)
-    ]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") v(feature, check_type, message, severity)"
+# The audit's name patterns with their messages.
+_NAME_RULES = """
+    SELECT * FROM (VALUES
+    ('churn', 'suspicious_name', 'Feature name contains ''churn'' - may leak target'),
+    ('cancel', 'suspicious_name', 'Feature name contains ''cancel'' - may be target-derived'),
+    ('_future', 'suspicious_name', 'Feature name suggests future data'),
+    ('_next', 'suspicious_name', 'Feature name suggests future data'),
+    ('will_', 'suspicious_name', 'Feature name suggests future knowledge'),
+    ('after_', 'suspicious_name', 'Feature name suggests post-prediction data'),
+    ('_date', 'raw_date', 'Raw date column used as feature. Should be engineered into relative features.'),
+    ('_at', 'raw_date', 'Raw date column used as feature. Should be engineered into relative features.'),
+    ('timestamp', 'raw_date', 'Raw date column used as feature. Should be engineered into relative features.'),
+    ('_time', 'raw_date', 'Raw date column used as feature. Should be engineered into relative features.')) v(pattern, check_type, message)"""
+_NAME_ROWS = """
+    SELECT feature, check_type, message, 'warning' AS severity FROM (SELECT DISTINCT feature FROM audit_long), name_rules
+    WHERE contains(lower(feature), pattern)"""
 
 
 _FINDINGS = """
@@ -67,7 +77,8 @@ _AUDIT = (
     ("audit_rows", _AUDIT_ROWS),
     ("audit_long", _audit_long()),
     ("audit_stats", _AUDIT_STATS),
-    ("name_rows", _name_rows()),
+    ("name_rules", _NAME_RULES),
+    ("name_rows", _NAME_ROWS),
     ("found", _FINDINGS),
 )
 

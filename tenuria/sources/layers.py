@@ -48,9 +48,17 @@ def load(df: DataFrame, table: str) -> int:
 
 
 def replace_snapshots(df: DataFrame, table: str = "gold.customer_360") -> None:
-    """Replace exactly the prediction dates present in `df`; a rerun changes nothing. The writer's own option, not the session's."""
-    aligned = align_columns(df, df.sparkSession.table(table).schema)
-    aligned.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    """Replace exactly the prediction dates present in `df`; a rerun changes nothing.
+
+    Written to the table's own files with the writer's option (an insert by name knows only the session's setting), then new dates are
+    made known to the catalog.
+    """
+    spark = df.sparkSession
+    aligned = align_columns(df, spark.table(table).schema)
+    place = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+    replace_snapshots_at(aligned, place)
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
 
 
 def filter_customer_360(gold: DataFrame, prediction_date=None, cohort: str | None = None) -> DataFrame:
@@ -107,10 +115,12 @@ def read_csv_seed(spark: SparkSession, path: str, bad: str = "keep") -> DataFram
     # Without column pruning a line is checked against all fields, whatever a query reads of it.
     reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", BAD)
     raw = reader.schema(columns if bad == "fail" else T.StructType([*columns, T.StructField(BAD, T.StringType())])).csv(path)
+    # Spark refuses to read that column alone, so the filters look at another one as well.
+    also = F.coalesce(F.col(f"`{columns.names[0]}`") != F.lit("\0"), F.lit(True))
     if bad == "only":
-        return raw.where(F.col(BAD).isNotNull()).select(BAD)
+        return raw.where(F.col(BAD).isNotNull() & also).select(BAD)
     if bad == "drop":
-        raw = raw.where(F.col(BAD).isNull())
+        raw = raw.where(F.col(BAD).isNull() & also)
     out = []
     for name in columns.names:
         new = CSV_NAMES.get(name) or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()

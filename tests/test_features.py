@@ -138,3 +138,24 @@ def test_ticket_days_outer_join(spark):
     got = [(r["customer_id"], str(r["activity_date"]), r["login_count"], r["support_tickets_opened"], r["support_tickets_resolved"])
            for r in rows(silver.with_ticket_days(daily, tickets), "customer_id", "activity_date")]
     assert got == [("A", "2024-01-01", 1, 1, 0), ("A", "2024-01-03", 0, 0, 1), ("B", "2024-01-01", 0, 1, 0)]
+
+
+def test_even_and_uneven_grids_agree(spark):
+    """Positions by arithmetic against the filter over dates that uneven grids use."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tenuria.operators import snapshots
+
+    even = snapshots.date_grid("2024-01-10", "2024-04-01", 7)
+    uneven = [*even, even[-1] + dt.timedelta(days=400)]
+    assert snapshots.Grid.of(even) and not snapshots.Grid.of(uneven) and not snapshots.Grid.of(even[:1])
+    days = spark.range(400).select((F.col("id") % 9).alias("customer_id"), F.expr("date_add(DATE '2023-11-01', cast(id * 7 % 199 as int))").alias("day"), (F.col("id") % 5).alias("v"))
+    def run(dates):
+        out = snapshots.snapshot_aggregate(days, "customer_id", "day", dates, 10, {"w": lambda a: F.when(a <= 10, F.col("v"))}, {"s": F.col("v")}, {"m": F.col("v")})
+        return sorted(map(tuple, out.where(F.col("prediction_date") <= F.lit(even[-1])).collect()), key=str)
+    assert run(even) == run(uneven)
+    people = days.select("customer_id", F.col("day").alias("signup_date"))
+    expand = lambda dates: sorted(map(str, snapshots.expand_base(people, dates).where(F.col("prediction_date") <= F.lit(even[-1])).collect()))
+    assert expand(even) == expand(uneven)

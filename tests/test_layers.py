@@ -53,6 +53,27 @@ def test_csv_seed(spark, tmp_path):
     assert got[1]["partner"] is None and got[1]["monthly_charges"] is None and got[1]["streaming_tv"] == "Yes"
 
 
+def test_bad_csv_lines(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("customerID,Partner,Churn\nA,Yes,No\nB,No\nC,Yes,No,more\nD,No,Yes\n")
+    read = lambda bad: layers.read_csv_seed(spark, str(path), bad)
+    assert [r["customer_id"] for r in rows(read("keep"), "customer_id")] == list("ABCD")
+    assert rows(read("drop"), "customer_id") == [{"customer_id": "A", "partner": True, "churn_label": False}, {"customer_id": "D", "partner": False, "churn_label": True}]
+    assert sorted(r[layers.BAD] for r in rows(read("only"))) == ["B,No", "C,Yes,No,more"]
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read("fail").collect()
+
+
+def test_replacing_leaves_the_session_alone(spark, tmp_path):
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    make = lambda v, *days: spark.createDataFrame([(v, d) for d in days], "v INT, prediction_date STRING")
+    for df in (make(1, "2024-01-01", "2024-01-02"), make(2, "2024-01-02"), make(2, "2024-01-02")):
+        layers.replace_snapshots_at(df, str(tmp_path / "t"))
+    assert spark.conf.get(name) == before
+    assert [(str(r["prediction_date"]), r["v"]) for r in rows(spark.read.parquet(str(tmp_path / "t")), "prediction_date")] == [("2024-01-01", 1), ("2024-01-02", 2)]
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
 def test_sinks_round_trip(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, "a", 0.5), (2, "b", None)], "id INT, name STRING, v DOUBLE")
