@@ -14,7 +14,7 @@ of a null language are not learned from; without any labelled row all texts are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -173,10 +173,11 @@ def sampled(rows: DataFrame, n: int) -> DataFrame:
     return few.withColumn("place", place).where(F.col("place") <= n).select("lang", "h")
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of docs, and lang_pred and score in place of columns of those names."""
+def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """All columns of docs (or those of `keep`, so that others don't pass through Python), and lang_pred and score in place of columns of those names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.drop("lang_pred", "score", "letters_")
+    docs = docs.withColumn("letters_", F.coalesce(letters(F.col(text)), F.lit("")))
+    own = docs.drop("lang_pred", "score", "letters_") if keep is None else docs.select(*keep)
     schema = StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     width = len(own.columns)
 
@@ -190,5 +191,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 best, score = m.predict(found) if m else (np.zeros(len(empty), np.int64), np.zeros(len(empty)))
                 lang = [UNKNOWN if e or not m else m.languages[b] for b, e in zip(best, empty, strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:width], pa.array(lang, pa.string()), pa.array(np.where(empty, 0.0, score))], names=[*some.schema.names[:width], "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
 
-    return own.withColumn("letters_", F.coalesce(letters(F.col(text)), F.lit(""))).mapInArrow(run, schema)
+    return docs.select(*own.columns, "letters_").mapInArrow(run, schema)

@@ -95,7 +95,7 @@ def test_rows_without_ids_keep_their_own_columns(spark):
 
 def test_language_stage_predicts_the_labels(spark, monkeypatch):
     docs, seen, identify = table(spark, SMALL, "documents"), [], string_kernel.identify
-    monkeypatch.setattr(string_kernel, "identify", lambda rows, model: seen.append(identify(rows, model)) or seen[0])
+    monkeypatch.setattr(string_kernel, "identify", lambda rows, model, **more: seen.append(identify(rows, model, **more)) or seen[0])
     corpus_pipeline.language_id(spark, docs, SMALL)
     pairs = [(r.lang, r.lang_pred) for r in seen[0].where("lang IS NOT NULL AND lang_pred <> 'und'").collect()]
     assert len({p for _, p in pairs}) > 1 and sum(a == b for a, b in pairs) >= 0.98 * len(pairs)
