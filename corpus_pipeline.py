@@ -29,10 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, the only ones that are "und": any other gets a known language, whatever its score. The
     model learns from a bounded sample of the labelled rows."""
     model = string_kernel.fit(docs.select("doc_id", "text", "lang"))
-    rows = packed(docs).select("doc", F.col("doc.text").alias("text"), F.col("doc.lang").alias("lang"))
     if model is None:  # nothing is labelled, so only texts without letters are rejected
-        return rows.where(string_kernel.letters(F.col("text")) != "").select("doc.*")
-    return string_kernel.identify(rows, model).where(F.col("lang_pred") != string_kernel.UNKNOWN).select("doc.*")
+        return docs.where(string_kernel.letters(F.col("text")) != "")
+    rows = keyed(docs)
+    texts = rows.select(KEY, F.col("doc.lang").alias("lang"), F.coalesce(F.col("doc.text"), F.lit("")).alias("text"))
+    known = string_kernel.identify(texts, model, keep=(KEY, "lang")).where(F.col("lang_pred") != string_kernel.UNKNOWN).select(KEY).distinct()
+    return rows.join(known, KEY, "left_semi").select("doc.*")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
