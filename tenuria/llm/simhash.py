@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenuria.llm.components import components
-from tenuria.llm.frames import texts
+from tenuria.llm.frames import texts, trim
 from tenuria.session import stored
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             marks = [fingerprint(t.as_buffer().to_pybytes()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
 

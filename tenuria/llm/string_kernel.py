@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tenuria.llm.frames import lanes, slices, utf8
+from tenuria.llm.frames import lanes, slices, trim, utf8
 from tenuria.session import stored
 
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 256, 1e-3
@@ -191,6 +191,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: Seq
                 best, score = m.predict(found) if m else (np.zeros(len(empty), np.int64), np.zeros(len(empty)))
                 lang = [UNKNOWN if e or not m else m.languages[b] for b, e in zip(best, empty, strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:width], pa.array(lang, pa.string()), pa.array(np.where(empty, 0.0, score))], names=[*some.schema.names[:width], "lang_pred", "score"])
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return docs.select(*own.columns, "letters_").mapInArrow(run, schema)

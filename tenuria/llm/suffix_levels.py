@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenuria.llm.frames import lanes, mix, ranges, span_hashes, texts, utf8
+from tenuria.llm.frames import lanes, mix, ranges, span_hashes, texts, trim, utf8
 from tenuria.session import shared_dir
 
 LENGTH, HEAD = 50, 24
@@ -151,6 +151,7 @@ def by_row(make):
             out = make(row)
             if out is not None:
                 yield out
+        trim()
 
     return run
 
