@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenuria import defaults as D
 from tenuria.functions import columns as C
-from tenuria.operators.features import KEY
+from tenuria.operators.features import KEY, first_days, first_week, known_days, to_first_login
 from tenuria.operators.snapshots import as_dates, expand_base, snapshot_aggregate
 
 MEASURES = {"logins": "login_count", "features_used": "features_used", "session_minutes": "session_duration_minutes"}
@@ -128,23 +128,16 @@ def support(rows: DataFrame, tickets: DataFrame, dates, days: int = 30, flag: st
 
 
 def activation(rows: DataFrame, daily: DataFrame) -> DataFrame:
-    """New users only (others get no row): first login, first-week logins, best first-week adoption."""
+    """New users only (others get no row), for P on or after signup: first login, first-week logins, best first-week adoption."""
     new = rows.where(F.col("cohort") == "new_user").select(*KEY, "signup_date")
-    known = F.col("activity_date") < F.col("prediction_date")
-    first_week = known & (F.col("activity_date") <= F.date_add("signup_date", D.FIRST_WEEK_DAYS))
     return (
-        new.join(daily.select("customer_id", "activity_date", "login_count", "unique_features"), "customer_id", "left")
-        .groupBy(*KEY)
-        .agg(
-            F.coalesce(
-                F.min(F.when(known & (F.col("login_count") > 0), F.datediff("activity_date", "signup_date"))),
-                F.lit(D.NEVER),
-            ).alias("days_to_first_login"),
-            F.sum(F.when(first_week, F.col("login_count")).otherwise(0)).alias("first_week_logins"),
-            C.ratio(
-                F.coalesce(F.max(F.when(first_week, F.col("unique_features"))), F.lit(0)),
-                F.lit(float(D.TOTAL_FEATURES)),
-            ).alias("onboarding_completion_pct"),
+        new.drop("signup_date")
+        .join(first_days(new, daily), "customer_id")
+        .select(
+            *KEY,
+            F.coalesce(to_first_login(), F.lit(D.NEVER)).alias("days_to_first_login"),
+            first_week("logins").alias("first_week_logins"),
+            C.ratio(F.array_max(known_days("best")), F.lit(float(D.TOTAL_FEATURES))).alias("onboarding_completion_pct"),
         )
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenuria import defaults as D
@@ -119,29 +119,57 @@ def support(tickets: DataFrame, dates, days: int = D.WINDOWS[2]) -> DataFrame:
     )
 
 
+def first_days(new: DataFrame, daily: DataFrame) -> DataFrame:
+    """One row per customer of `new`: signup_date, first_day and first_login (of all days), and the arrays `logins`,
+    `features` (sums) and `best` (maximum): before signup (first entry) and on each day from signup to FIRST_WEEK_DAYS after it.
+
+    A customer's history is joined once, not once per snapshot, and each row of it falls into at most one entry.
+    """
+    people = new.groupBy("customer_id").agg(F.min("signup_date").alias("signup_date"))
+    days = people.join(daily.select("customer_id", "activity_date", "login_count", "unique_features"), "customer_id", "left")
+    offset = F.datediff("activity_date", "signup_date")
+    place = F.when(offset < 0, -1).otherwise(offset)
+
+    def by_day(how, measure):
+        return F.array(*[F.coalesce(how(F.when(place == i, F.col(measure))), F.lit(0)).cast("long") for i in range(-1, D.FIRST_WEEK_DAYS + 1)])
+
+    return days.groupBy("customer_id", "signup_date").agg(
+        F.min("activity_date").alias("first_day"),
+        F.min(F.when(F.col("login_count") > 0, F.col("activity_date"))).alias("first_login"),
+        by_day(F.sum, "login_count").alias("logins"),
+        by_day(F.sum, "unique_features").alias("features"),
+        by_day(F.max, "unique_features").alias("best"),
+    )
+
+
+def known_days(days) -> Column:
+    """The entries of an array of first_days that lie before P."""
+    return F.slice(days, F.lit(1), F.datediff("prediction_date", "signup_date") + 1)
+
+
+def to_first_login() -> Column:
+    """Days from signup to the first login, if that was before P."""
+    return F.when(F.col("first_login") < F.col("prediction_date"), F.datediff("first_login", "signup_date"))
+
+
+def first_week(days) -> Column:
+    """Sum of an array of first_days over the days before P."""
+    return F.aggregate(known_days(days), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def activation(base_rows: DataFrame, daily: DataFrame) -> DataFrame:
-    """First-week behaviour of new users; customers whose only activity is at or after P are left out."""
+    """First-week behaviour of new users, for P on or after signup; customers whose only activity is at or after P are left out."""
     new = base_rows.where(F.col("cohort") == "new_user").select(*KEY, "signup_date")
-    known = F.col("activity_date") < F.col("prediction_date")
-    first_week = known & (F.col("activity_date") <= F.date_add("signup_date", D.FIRST_WEEK_DAYS))
-    zero = F.lit(0)
     return (
-        new.join(daily.select("customer_id", "activity_date", "login_count", "unique_features"), "customer_id", "left")
-        .groupBy(*KEY)
-        .agg(
-            F.min(
-                F.when(known & (F.col("login_count") > 0), F.datediff("activity_date", "signup_date"))
-            ).alias("days_to_first_login"),
-            C.ratio(
-                F.sum(F.when(first_week, F.col("unique_features")).otherwise(zero)),
-                F.lit(float(D.TOTAL_FEATURES)),
-            ).alias("onboarding_completion_pct"),
-            F.sum(F.when(first_week, F.col("login_count")).otherwise(zero)).alias("first_week_logins"),
-            F.count("activity_date").alias("_days"),
-            F.count_if(known).alias("_known"),
+        new.drop("signup_date")
+        .join(first_days(new, daily), "customer_id")
+        .where("first_day IS NULL OR first_day < prediction_date")
+        .select(
+            *KEY,
+            to_first_login().alias("days_to_first_login"),
+            C.ratio(first_week("features"), F.lit(float(D.TOTAL_FEATURES))).alias("onboarding_completion_pct"),
+            first_week("logins").alias("first_week_logins"),
         )
-        .where("_days = 0 OR _known > 0")
-        .drop("_days", "_known")
     )
 
 

@@ -91,12 +91,16 @@ def weekly_logins(daily: DataFrame, anchor) -> DataFrame:
 
 
 def velocity_alert(daily: DataFrame, customers: DataFrame, anchor, until, drop: float = 0.2) -> DataFrame:
-    """Customers whose weekly logins fell by more than `drop` two weeks running, complete weeks only.
+    """Customers whose weekly logins fell by more than `drop` two weeks running, complete weeks only."""
+    return falling_weeks(weekly_logins(daily, anchor), customers, until, drop)
+
+
+def falling_weeks(weeks: DataFrame, customers: DataFrame, until, drop: float = 0.2) -> DataFrame:
+    """`velocity_alert` over weekly totals (customer_id, week_start, logins).
 
     Every week's total is also sent to the next two weeks as their history, so weeks without any
     login are covered and no per-customer ordering is needed.
     """
-    weeks = weekly_logins(daily, anchor)
     sent = weeks.select(
         "customer_id",
         F.col("logins"),

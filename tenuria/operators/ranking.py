@@ -192,18 +192,41 @@ def mark_first_k(
 def exact_quantiles(
     rows: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], slots: Slots | None = None
 ) -> DataFrame:
-    """(by, prob, quantile) with linear interpolation, from running totals of distinct values."""
+    """(by, prob, quantile) with linear interpolation.
+
+    The slots' totals (one row per segment and slot) tell which slots hold a wanted position; only the distinct
+    values of those slots are ordered.
+    """
     cells = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(cells, by, value, ["n"], slots, descending=False)
+    if slots is None:
+        cells = settle(cells)
+        slots = Quantiles.of(cells, value)
+    placed = slots.add(cells, value)
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_slot").agg(F.sum("n").alias("_s")).select(
+        *by, "_slot", "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"), F.sum("_s").over(Window.partitionBy(*by)).alias("_total")
+    )
+    # Row position (0-based) of the quantile, and those at its floor and ceiling.
     points = F.array(*[F.lit(float(p)) for p in probs])
-    # Row position (0-based) of the quantile and the values at its floor and ceiling.
-    at = ranked.withColumn("prob", F.explode(points)).withColumn("_h", (F.col("total_n") - 1) * F.col("prob"))
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     low, high = F.floor("_h"), F.ceil("_h")
-    v = F.col(value).cast("double")
-    ends = at.groupBy(*by, "prob", "_h").agg(
-        F.max(F.when((first <= low) & (low <= last), v)).alias("_low"),
-        F.max(F.when((first <= high) & (high <= last), v)).alias("_high"),
-    )
+
+    def holds(first, size):
+        return low.between(first, first + size - 1) | high.between(first, first + size - 1)
+
+    at = totals.withColumn("prob", F.explode(points)).withColumn("_h", (F.col("_total") - 1) * F.col("prob"))
+    wanted = at.where(holds(F.col("_o"), F.col("_s")))
+    # One row per open slot, so a cell meets its slot once and goes only to the quantiles that fall on it.
+    open_slots = wanted.groupBy(*by, "_slot").agg(F.first("_o").alias("_o"), F.collect_set(F.struct("prob", "_h")).alias("_at"))
+    inside = Window.partitionBy(*by, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("_o") + F.col("_c") - F.col("n")
+    opened = match(placed, open_slots, [*by, "_slot"]).withColumn("_c", F.sum("n").over(inside))
+    cut = opened.withColumn("_at", F.explode("_at")).select(
+        *by, F.col(value).cast("double").alias("_v"), "n", first.alias("_first"), "_at.prob", "_at._h"
+    ).where(holds(F.col("_first"), F.col("n")))
+
+    def end(position):
+        return F.max(F.when(position.between(F.col("_first"), F.col("_first") + F.col("n") - 1), F.col("_v")))
+
+    ends = cut.groupBy(*by, "prob", "_h").agg(end(low).alias("_low"), end(high).alias("_high"))
     frac = F.col("_h") - F.floor("_h")
     return ends.select(*by, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * frac).alias("quantile"))

@@ -10,6 +10,7 @@ from tenuria.plans import inputs
 from tenuria.plans.check_ctes import gold
 from tenuria.plans.inputs import A_DATE, B_DATE, account_tables, activity_tables
 from tenuria.plans.registry import Check, query
+from tenuria.session import stored
 from tenuria.sources import activity
 
 P_B = "DATE '2024-01-29'"
@@ -430,7 +431,7 @@ def sample_weights(spark, d):
 )
 def features_cohort(spark, d):
     t = account_tables(spark, d)
-    return cohort_features.features_cohort(t.customers, t.engagement, _cohort_tickets(t), A_DATE)
+    return cohort_features.features_cohort(stored(t.customers), stored(t.engagement), _cohort_tickets(t), A_DATE)
 
 
 @query(

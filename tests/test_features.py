@@ -96,6 +96,32 @@ def test_activation_future_only_is_null_and_none_is_zero(spark):
     assert [(r["customer_id"], r["days_to_first_login"], r["first_week_logins"]) for r in got] == [("B", None, 0)]
 
 
+def test_activation_equals_definition(spark):
+    """First week by day, days before signup, several P, a day on signup + 7, no activity, activity from P on only."""
+    signups = {"A": dt.date(2024, 1, 10), "B": dt.date(2024, 1, 20), "C": dt.date(2024, 1, 1), "D": dt.date(2024, 1, 25)}
+    grid = [dt.date(2024, 1, 10), dt.date(2024, 1, 14), dt.date(2024, 1, 18), dt.date(2024, 1, 30)]
+    base = [(c, p, s, "new_user") for c, s in signups.items() for p in grid if p >= s]
+    days = [("A", dt.date(2024, 1, 5), 2, 3), ("A", dt.date(2024, 1, 10), 0, 5), ("A", dt.date(2024, 1, 13), 4, 1),
+            ("A", dt.date(2024, 1, 17), 1, 2), ("A", dt.date(2024, 1, 18), 9, 9), ("B", dt.date(2024, 2, 3), 1, 1),
+            ("C", dt.date(2024, 1, 9), 3, 3), ("D", dt.date(2024, 1, 25), 0, 4), ("E", dt.date(2024, 1, 1), 1, 1)]
+    rows_df = spark.createDataFrame(base, "customer_id STRING, prediction_date DATE, signup_date DATE, cohort STRING")
+    daily = spark.createDataFrame(days, "customer_id STRING, activity_date DATE, login_count INT, unique_features INT")
+    sql, cohort = {}, {}
+    for c, p, s, _ in base:
+        own = [d for d in days if d[0] == c]
+        known = [d for d in own if d[1] < p]
+        week = [d for d in known if (d[1] - s).days <= 7]
+        first = min(((d[1] - s).days for d in known if d[2] > 0), default=None)
+        logins = sum(d[2] for d in week)
+        if not own or known:
+            sql[c, p] = (first, pytest.approx(sum(d[3] for d in week) / 15), logins)
+        cohort[c, p] = (999 if first is None else first, pytest.approx(max((d[3] for d in week), default=0) / 15), logins)
+    names = ("days_to_first_login", "onboarding_completion_pct", "first_week_logins")
+    for operator, want in ((features.activation, sql), (cohort_features.activation, cohort)):
+        got = {(r.customer_id, r.prediction_date): tuple(r[n] for n in names) for r in operator(rows_df, daily).collect()}
+        assert got == want
+
+
 def test_many_snapshots_equal_single_ones(spark, three):
     customers, daily, tickets = three
     c, t = _silver(customers, tickets)

@@ -143,3 +143,15 @@ def test_row_identifier_is_not_a_segment(spark):
         metrics.evaluate(df, ["customer_id"])
     with pytest.raises(ValueError):
         playbooks.ab_assign(df, ["customer_id"])
+
+
+def test_exact_quantiles_open_only_slots_with_wanted_positions(spark):
+    rng = np.random.default_rng(5)
+    data = [(g, float(v)) for g, n in (("a", 500), ("b", 1), ("c", 37)) for v in np.round(rng.exponential(3, n), 1)]
+    data += [(None, 4.0), (None, 4.0), (None, 7.5), ("a", None)]
+    df = spark.createDataFrame(data, "g STRING, v DOUBLE")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for slots in (None, EqualWidth(0, 30, 7), EqualWidth(0, 1, 1)):
+        got = {(r["g"], r["prob"]): r["quantile"] for r in rows(exact_quantiles(df, ["g"], "v", probs, slots))}
+        want = {(g, p): np.quantile([v for k, v in data if k == g and v is not None], p) for g in ("a", "b", "c", None) for p in probs}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

@@ -56,6 +56,9 @@ def test_velocity_batches_equal_the_batch_operator_and_repeat_safely(spark, tmp_
         part = [r for r in all_days if lo <= (r[1] - start).days < hi]
         run(spark.createDataFrame(part, schema), batch_id)
         run(spark.createDataFrame(part, schema), batch_id)
+    # What a batch leaves: three weeks of sums at most, whatever was stored before, so the days of earlier batches may go.
+    sums = spark.read.parquet(str(tmp_path / "alerts-sums" / "weeks"))
+    assert [r["n"] for r in sums.groupBy("batch_id").agg(F.countDistinct("week_start").alias("n")).orderBy("batch_id").collect()] == [1, 2, 3, 2]
     want = playbooks.velocity_alert(spark.createDataFrame(all_days, schema), customers, "2024-01-01", "2024-01-29")
     cols = ["customer_id", "week_start", "logins", "action"]
     streamed = rows(alerts.latest_alerts(spark, str(tmp_path / "alerts")).select(*cols), "customer_id", "week_start")
@@ -64,3 +67,14 @@ def test_velocity_batches_equal_the_batch_operator_and_repeat_safely(spark, tmp_
         (1, "2024-01-15", "CSM call"), (2, "2024-01-22", "Re-engagement campaign"),
         (3, "2024-01-15", "Re-engagement campaign"),
     }
+
+
+def test_velocity_batches_carry_on_over_empty_batches(spark, tmp_path):
+    schema = "customer_id BIGINT, activity_date DATE, login_count INT"
+    customers = spark.createDataFrame([(1, "smb")], "customer_id BIGINT, ltv_tier STRING")
+    days = [(1, dt.date(2024, 1, 1), 10), (1, dt.date(2024, 1, 8), 6), (1, dt.date(2024, 1, 15), 2), (1, dt.date(2024, 1, 22), 1)]
+    run = alerts.velocity_batches(str(tmp_path / "d"), str(tmp_path / "a"), customers, "2024-01-01", state_path=str(tmp_path / "s"))
+    for batch_id, part in enumerate([[], days[:1], [], days[1:2], days[2:], []]):
+        run(spark.createDataFrame(part, schema), batch_id)
+    got = alerts.latest_alerts(spark, str(tmp_path / "a")).select("customer_id", "week_start", "logins").collect()
+    assert [(r[0], str(r[1]), r[2]) for r in got] == [(1, "2024-01-15", 2)]
