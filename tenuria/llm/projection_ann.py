@@ -4,11 +4,11 @@ Unit vectors are projected on PROJECTIONS random normal directions (2-stable: a
 times a chi-square variable). A kd-tree of the projections, split at medians of a bounded sample, deals all rows into
 leaves; in a leaf a smaller kd-tree orders its buckets. A search visits buckets by their projected distance, verifies the
 true cosine of the rows in them, and stops when the chi-square test holds: a vector as near as the k-th found would, with
-probability CONFIDENCE, have a smaller projected distance than all that is left. A query first searches its own leaf, and then
+probability CONFIDENCE, have a smaller projected distance than all that is left (by more than EDGE, the rounding of unit vectors). A query first searches its own leaf, and then
 those leaves that the test with its k-th distance there leaves open.
 
 Equal vectors are one row of the index with their k + 1 smallest ids, all that can be among k results; equal queries are one
-search. Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
+search. The score is dot / (norm * norm) of the original vectors, at most 1; equal scores go by the smaller id, inside a leaf too. Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 of another length than most have (of equally frequent lengths, the shortest counts); fewer candidates than k are all returned;
 a repeated id is one candidate, and a query's own id is none; null ids take no part; empty tables give no rows.
 """
@@ -28,6 +28,7 @@ from tenuria.session import stored
 PROJECTIONS, CONFIDENCE = 8, 0.95
 LEAF_ROWS, BUCKET_ROWS, SAMPLE = 4096, 64, 20_000
 SEED = 20240229
+EDGE = 1e-12
 
 
 def chi_square(x: float, m: int) -> float:
@@ -92,9 +93,10 @@ class Cells:
 
 
 class Leaf:
-    """Rows of one leaf in buckets of a kd-tree over their projections."""
+    """Rows of one leaf (original vectors, their smallest ids) in buckets of a kd-tree over the projections of their unit vectors."""
 
-    def __init__(self, vectors: np.ndarray, projected: np.ndarray, bucket: int = BUCKET_ROWS):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, way: np.ndarray, bucket: int = BUCKET_ROWS):
+        projected = unit(vectors) @ way
         parts, done = [np.arange(len(vectors))], []
         while parts:
             rows = parts.pop()
@@ -106,7 +108,7 @@ class Leaf:
             order = np.argsort(own[:, k], kind="stable")
             parts += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
         self.rows = done
-        self.vectors = vectors
+        self.vectors, self.ids, self.norms = vectors, ids, np.linalg.norm(vectors, axis=1)
         self.low = np.array([projected[r].min(axis=0) for r in done])
         self.high = np.array([projected[r].max(axis=0) for r in done])
 
@@ -115,14 +117,16 @@ class Leaf:
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
         far = (gap**2).sum(axis=1)
         order = np.argsort(far, kind="stable")
+        norm = np.linalg.norm(query[None, :], axis=1)[0]
         found, cosine = np.zeros(0, np.int64), np.zeros(0)
         for at in range(0, len(order), 4):
-            if far[order[at]] > limit * bound:
+            if far[order[at]] > limit * bound + EDGE:
                 break
             rows = np.concatenate([self.rows[b] for b in order[at : at + 4]])
-            found, cosine = np.append(found, rows), np.append(cosine, self.vectors[rows] @ query)
+            score = np.clip((self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * norm), -1, 1)
+            found, cosine = np.append(found, rows), np.append(cosine, score)
             if len(found) > k:
-                best = np.argsort(-cosine, kind="stable")[:k]
+                best = np.lexsort((self.ids[found], -cosine))[:k]
                 found, cosine = found[best], cosine[best]
             if len(found) == k:
                 bound = min(bound, max(0.0, 2 - 2 * cosine.min()))
@@ -189,12 +193,12 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, m: int = PROJECTION
         way, _ = held.value
         out: list[tuple] = []
         if queries.num_rows and rows.num_rows:
-            x = unit(matrix(rows.column("vector").combine_chunks()))
-            tree = Leaf(x, x @ way)
-            wanted = unit(matrix(queries.column("query").combine_chunks()))
             ids = rows.column("ids").to_pylist()
-            for h1, h2, q, bound in zip(queries.column("h1").to_pylist(), queries.column("h2").to_pylist(), wanted, queries.column("bound").to_pylist(), strict=True):
-                found, cosine = tree.search(q, q @ way, k + 1, bound, limit)
+            tree = Leaf(matrix(rows.column("vector").combine_chunks()), np.array([i[0] for i in ids], np.int64), way)
+            wanted = matrix(queries.column("query").combine_chunks())
+            points_ = unit(wanted) @ way
+            for h1, h2, q, point, bound in zip(queries.column("h1").to_pylist(), queries.column("h2").to_pylist(), wanted, points_, queries.column("bound").to_pylist(), strict=True):
+                found, cosine = tree.search(q, point, k + 1, bound, limit)
                 out += [(h1, h2, vec_id, float(c)) for i, c in zip(found.tolist(), cosine.tolist(), strict=True) for vec_id in ids[i]]
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["h1", "h2", "vec_id", "score"])
@@ -217,7 +221,7 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, m: int = PROJECTION
             points_ = unit(matrix(batch.column(3))) @ way
             for i in range(batch.num_rows):
                 bound = max(0.0, batch.column(4)[i].as_py())
-                leaves = np.flatnonzero(cells.distances(points_[i]) <= limit * bound)
+                leaves = np.flatnonzero(cells.distances(points_[i]) <= limit * bound + EDGE)
                 leaves = leaves[leaves != batch.column(0)[i].as_py()]
                 if len(leaves):
                     one = batch.slice(i, 1).take(pa.array(np.zeros(len(leaves), np.int64)))

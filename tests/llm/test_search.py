@@ -217,6 +217,38 @@ def test_neighbours(spark, leaf_rows):
     assert projection_ann.neighbours(df.where("vec_id in (0, 10)"), every=10).count() == 2
 
 
+@pytest.mark.parametrize("leaf_rows", [4096, 16])
+def test_rows_of_one_direction_rank_by_id(spark, leaf_rows):
+    """Forty rows of one direction and other lengths, among rows of other directions: equal scores, the smallest ids first."""
+    rng = np.random.default_rng(7)
+    one = rng.standard_normal(6)
+    rows = [(41 - i, (one * 2.0**i).tolist()) for i in range(1, 41)] + [(50, (one / 4).tolist())]
+    rows += [(100 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((200, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.rank, r.vec_id, r.score) for r in projection_ann.neighbours(df, leaf_rows=leaf_rows).where("query_id = 50").collect())
+    assert [i for _, i, _ in got] == [1, 2, 3, 4, 5]
+    v = np.array(one / 4)
+    assert {s for _, _, s in got} == {min(1.0, float((v * v).sum() / (np.linalg.norm(v[None, :], axis=1)[0] ** 2)))}
+
+
+def test_neighbours_query_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    ids, vectors = zip(*((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()), strict=True)
+    ids, x = np.array(ids), np.array(vectors, np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in queries.op10_projection_ann(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert got.keys() == set(ids[asked].tolist())
+    hit = 0
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -2
+        hit += len(got[int(ids[q])] & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    assert hit >= 0.9 * 5 * len(asked)
+
+
 def test_chi_square():
     assert abs(projection_ann.chi_square(projection_ann.quantile(0.95, 8), 8) - 0.95) < 1e-9
     assert abs(projection_ann.quantile(0.95, 8) - 15.507) < 1e-3
