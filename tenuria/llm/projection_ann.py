@@ -123,7 +123,11 @@ class Leaf:
             if far[order[at]] > limit * bound + EDGE:
                 break
             rows = np.concatenate([self.rows[b] for b in order[at : at + 4]])
-            score = np.clip((self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * norm), -1, 1)
+            size = self.norms[rows] * norm
+            if len(found) == k:  # a matrix product rounds by more than the score, but by far less than EDGE
+                likely = (self.vectors[rows] @ query) / size >= cosine.min() - EDGE
+                rows, size = rows[likely], size[likely]
+            score = np.clip((self.vectors[rows] * query).sum(axis=1) / size, -1, 1)
             found, cosine = np.append(found, rows), np.append(cosine, score)
             if len(found) > k:
                 best = np.lexsort((self.ids[found], -cosine))[:k]
