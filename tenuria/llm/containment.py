@@ -107,14 +107,19 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int
         (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-CONTAINED_SQL = """
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
-i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
-bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i),
-n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
-SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= 80 * n_item
-"""
+#: The rule of `contained` with `short`: each row is a document, each distinct text of an item is an item.
+CONTAINED_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, item_id, w FROM (SELECT DISTINCT item_id, {words} AS w FROM benchmark)),
+ds AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p+4], ' '))) AS s FROM d),
+bs AS (SELECT DISTINCT k, item_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p+4], ' '))) AS s FROM i),
+n AS (SELECT k, count(*) AS n_item FROM bs GROUP BY k),
+long AS (SELECT r, doc_id, item_id, n_item, count(*) AS n_shared FROM ds JOIN bs USING (s) JOIN n USING (k)
+    GROUP BY r, doc_id, k, item_id, n_item HAVING count(*) * 100 >= 80 * n_item),
+short AS (SELECT r, doc_id, item_id, 1::BIGINT AS n_item, 1::BIGINT AS n_shared
+    FROM d JOIN (SELECT item_id, array_to_string(w, ' ') AS s FROM i WHERE len(w) BETWEEN 1 AND 4)
+    ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || s || ' '))
+SELECT doc_id, item_id, n_item, max(n_shared) AS n_shared, max(n_shared) / n_item AS containment
+FROM (SELECT * FROM long UNION ALL SELECT * FROM short) GROUP BY doc_id, item_id, n_item
+""".replace("{words}", r"""list_filter(string_split_regex(lower(regexp_replace(coalesce(text, ''),
+    '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)', ' \1 ', 'g')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')""")

@@ -1,12 +1,12 @@
 """Language identification by a string kernel.
 
-A text is the set of its character n-grams of one, two and three letters (a blended spectrum with presence counts), written
-over a small alphabet that the training texts fix. The kernel of two texts is the share of n-grams they have in common,
+A text is the set of its character n-grams of one, two and three letters (a blended spectrum with presence counts), each hashed
+from its code points to one of BUCKETS numbers, so that letters of all scripts count alike. The kernel of two texts is the share of n-grams they have in common,
 |A and B| / sqrt(|A| |B|). Landmarks give the Nyström map phi(x) = k(x, landmarks) W^(-1/2); kernel ridge regression of one
 language against the rest is then linear in phi, and all texts of a batch are scored by matrix products.
 
-Fitting reads all labelled rows for the alphabet's counts and, as documented bounds, PER_LANGUAGE rows of each language (those
-of the smallest hashes of their keys) for the regression, LANDMARKS of them as landmarks. Prediction reads the whole text only.
+Fitting takes, as documented bounds, PER_LANGUAGE labelled rows of each language (those of the smallest hashes of their keys) for
+the regression, LANDMARKS of them as landmarks. Prediction reads the whole text only.
 
 Defined results: null texts, and texts without a letter, are "und" with score 0; ties go to the first language by name; rows
 of a null language are not learned from; without any labelled row all texts are "und". Repeated rows get equal results.
@@ -24,16 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tenuria.llm.frames import lanes, slices, trim, utf8
+from tenuria.llm.frames import lanes, mix, slices, trim, utf8
 from tenuria.session import stored
 
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 256, 1e-3
 UNKNOWN = "und"
 #: Bytes of text that a task works on at a time.
 PART = 1 << 20
-#: Symbols: 0 is what stands between words, 1 any letter outside the alphabet, the rest the most frequent letters.
-SYMBOLS = 64
-SPACE = 1 + SYMBOLS + SYMBOLS**2
+#: Numbers of n-grams, which bound the size of a set whatever the length and the script of its text; and n-grams hashed at a time.
+BUCKETS, PIECE = 1 << 18, 1 << 16
+SPACE = 32
 
 
 def letters(text: Column) -> Column:
@@ -53,21 +53,23 @@ def points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.int64), np.searchsorted(at, offsets)
 
 
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """Distinct 1-, 2- and 3-grams of one text, as numbers below SYMBOLS ** 3 + SPACE. A space stands at either end."""
-    s = np.zeros(len(symbols) + 2, np.int64)
-    s[1:-1] = symbols
-    seen = np.zeros(SYMBOLS + SYMBOLS**2 + SYMBOLS**3, bool)
-    seen[s[1:-1]] = True
-    seen[SYMBOLS + s[:-1] * SYMBOLS + s[1:]] = True
-    seen[SYMBOLS + SYMBOLS**2 + (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]] = True
+def grams(code: np.ndarray) -> np.ndarray:
+    """Distinct 1-, 2- and 3-grams of one text, as ascending numbers below BUCKETS. A space stands at either end."""
+    s = np.full(len(code) + 2, SPACE, np.uint64)
+    s[1:-1] = code
+    seen = np.zeros(BUCKETS, bool)
+    for at in range(0, max(1, len(code)), PIECE):
+        part = s[at : at + PIECE + 2]
+        pair = part[:-1] << np.uint64(21) | part[1:]
+        # Three code points of 21 bits each fit one number; a 1-gram is below all 2-grams and these below all 3-grams.
+        whole = np.concatenate([part[1:-1], pair, pair[:-1] << np.uint64(21) | part[2:]])
+        seen[(mix(whole, 0x9E3779B97F4A7C15) % np.uint64(BUCKETS)).astype(np.int64)] = True
     return np.flatnonzero(seen)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # code points, ascending
     features: np.ndarray  # n-grams of the landmarks, ascending
     presence: np.ndarray  # features x landmarks
     root: np.ndarray  # square roots of the landmarks' sizes
@@ -77,20 +79,15 @@ class Model:
     def kernel(self, column: pa.Array) -> np.ndarray:
         """Kernel of every text with every landmark."""
         code, start = points(column)
-        symbols = self.symbols(code)
         x = np.zeros((len(column), len(self.features)), np.float32)
         size = np.ones(len(column))
         for i in range(len(column)):
-            g = grams(symbols[start[i] : start[i + 1]])
+            g = grams(code[start[i] : start[i + 1]])
             size[i] = max(1, len(g))
             at = np.minimum(np.searchsorted(self.features, g), max(0, len(self.features) - 1))
             x[i, at[self.features[at] == g]] = 1
         return (x @ self.presence).astype(np.float64) / np.sqrt(size)[:, None] / self.root
 
-    def symbols(self, code: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.alphabet, code), len(self.alphabet) - 1)
-        return np.where(code == 32, 0, np.where(self.alphabet[at] == code, at + 2, 1))
-
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language, and its share of all languages' scores, each taken as exp(4 score)."""
         score = self.kernel(column) @ self.weights + self.bias
@@ -100,41 +97,25 @@ class Model:
 
 
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Model from labelled rows; None if there are none. The driver gets letters with counts, and the sample."""
-    spark = rows.sparkSession
+    """Model from labelled rows; None if there are none. The driver gets the sample alone."""
     d = rows.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), letters(F.col(text)).alias("text"), F.col(lang).alias("lang"))
     d = d.where("text <> ''")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            for some in slices(batch, "text", PART):
-                code, _ = points(some.column(0))
-                n = np.bincount(code)
-                for c in np.flatnonzero(n).tolist():
-                    total[c] = total.get(c, 0) + int(n[c])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
-
-    counts = d.select("text").mapInArrow(count, "code long, n long").where("code <> 32").groupBy("code").agg(F.sum("n").alias("n"))
-    alphabet = np.sort(np.array([r.code for r in counts.orderBy(F.desc("n"), "code").limit(SYMBOLS - 2).collect()], np.int64))
-    if not len(alphabet):
-        return None
     # Written first: Spark then sees that these few keys are small.
     picked = stored(sampled(d.select("lang", F.xxhash64("key").alias("h")), per_language))
-    held = spark.sparkContext.broadcast(alphabet)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank = Model([], held.value, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
         for batch in batches:
             for some in slices(batch, "text", PART):
                 code, start = points(some.column(2))
-                symbols = blank.symbols(code)
-                sets = [grams(symbols[a:b]).astype(np.int32).tobytes() for a, b in zip(start, start[1:], strict=False)]
+                sets = [grams(code[a:b]).astype(np.int32).tobytes() for a, b in zip(start, start[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.binary())], ["lang", "h", "grams"])
 
     chosen = d.select("lang", F.xxhash64("key").alias("h"), "text").join(picked, ["lang", "h"]).select("lang", "h", "text")
     taken = chosen.mapInArrow(gathered, "lang string, h long, grams binary").groupBy("lang", "h").agg(F.min("grams").alias("grams")).collect()
     sample = sorted((r.h, r.lang, bytes(r.grams)) for r in taken)
+    if not sample:
+        return None
     names = sorted({x[1] for x in sample})
     spread: dict[str, int] = {}
     rank = []
@@ -161,7 +142,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     penalty = ridge * len(phi) * np.eye(phi.shape[1])
     penalty[-1, -1] = 0
     w = np.linalg.solve(phi.T @ phi + penalty + 1e-9 * np.eye(phi.shape[1]), phi.T @ target)
-    return Model(names, alphabet, features, presence, root, nystrom @ w[:-1], w[-1])
+    return Model(names, features, presence, root, nystrom @ w[:-1], w[-1])
 
 
 def sampled(rows: DataFrame, n: int) -> DataFrame:

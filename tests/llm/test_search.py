@@ -45,6 +45,22 @@ def test_short_items_inside_long_documents(spark):
     assert got == {(0, 0, 1, 1), (0, 2, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1), (6, 3, 2, 2), (8, 4, 3, 3), (10, 5, 1, 1), (13, 2, 1, 1)}
 
 
+def test_short_items_in_sql(spark, tmp_path):
+    import duckdb
+
+    items = [(1, "Alpha, beta gamma! delta"), (2, "omega"), (2, "beta gamma"), (3, "one two three four five six"), (4, "东京大学在哪里"), (5, "ไม่รู้"), (6, None), (None, "omega"), (3, "one two three four five six")]
+    texts = ["so alpha beta gamma delta epsilon zeta", "Omega", "x omega omega " * 40, "zero one two three four five six", "请问东京大学在哪里呢", "เขาไม่รู้อะไร", "", None, "omegas beta-gamma.", "omega beta gamma"]
+    ids = [*range(len(texts) - 2), None, None]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), documents(spark, texts, ids)
+    got = {tuple(r) for r in containment.contained(docs, bench, short=True).select("doc_id", "item_id", "n_item", "n_shared", "containment").collect()}
+    con = duckdb.connect()
+    for name, frame in (("documents", docs), ("benchmark", bench)):
+        frame.select([c for c in ("doc_id", "item_id", "text") if c in frame.columns]).write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    rows = con.execute(f"SELECT doc_id, item_id, n_item, n_shared, containment FROM ({containment.CONTAINED_SQL})").fetchall()
+    assert len(rows) == len(set(rows)) and set(rows) == got and {(0, 1, 1, 1, 1.0), (2, 2, 1, 1, 1.0), (4, 4, 3, 3, 1.0), (5, 5, 1, 1, 1.0), (None, None, 1, 1, 1.0)} <= got
+
+
 def test_containment_stays_native(spark):
     plan = queries.op7_containment(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -78,6 +94,26 @@ def test_grams_are_presence_kernels(spark):
     assert np.allclose(np.sort(k, axis=1), np.sort(want, axis=1))
 
 
+def test_scripts_of_many_letters(spark):
+    """Rare scripts are told apart beside languages with many letters, by the default landmarks."""
+    rng = np.random.default_rng(3)
+    sets = {"hot": range(0x61, 0x7B), "many": range(0x4E00, 0x4F00), "han": range(0x5000, 0x5100), "kana": range(0x30A1, 0x30F0), "thai": range(0xE01, 0xE2F)}
+    text = lambda lang: "".join(map(chr, rng.choice(list(sets[lang]), 40)))
+    rows = [(k, text(lang), lang) for k, lang in enumerate(["hot", "many"] * 40 + list(sets) * 8)]
+    model = string_kernel.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=30)
+    docs = [(k, text(lang), lang) for k, lang in enumerate(list(sets) * 6)]
+    got = string_kernel.identify(spark.createDataFrame(docs, "doc_id long, text string, truth string"), model).collect()
+    assert sum(r.truth == r.lang_pred for r in got) >= 0.95 * len(docs)
+
+
+def test_grams_of_a_text_longer_than_a_piece(monkeypatch):
+    code = np.random.default_rng(2).integers(33, 0x10FFFF, 1000)
+    whole = string_kernel.grams(code)
+    for piece in (1, 7, 500, 999, 1000):
+        monkeypatch.setattr(string_kernel, "PIECE", piece)
+        assert np.array_equal(string_kernel.grams(code), whole)
+
+
 def test_language_query(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op6_string_kernel(spark, "/root/testdata/sf0.01").collect()
