@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element. Lines of menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments weigh nothing, as do lines that are mostly link text; where a page marks its article, lines outside it weigh
-nothing either. The weights, lengths of text, are summed over windows of WINDOW lines. Text is kept from each surge, where
-the sums rise from zero, to the next dive, where they fall back to zero, if they peak between the two at THRESHOLD or more,
-or at half of the page's highest peak if that is less - so a page of short lines keeps its largest part.
+reader comments weigh nothing, as do lines that are mostly link text. A page's marked article is trusted if its highest window
+sum is at least half of that of the lines outside; then lines outside weigh nothing either. The weights, lengths of text, are
+summed over windows of WINDOW lines. Text is kept from each surge, where the sums rise from zero, to the next dive, where they
+fall back to zero, if they peak between the two at THRESHOLD or more, or at half of the page's highest peak if that is less -
+so a page of short lines keeps its largest part. Without a trusted article, headings and paragraphs that stand in one element
+with a kept line are kept too, be they short, apart or mostly links.
 
 Inside what is kept nothing is dropped or capped. Character references are decoded, white space inside a line becomes one
 space, and lines are joined by a newline in page order. Defined results: null or empty html gives the empty text; cut-off
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,16 @@ NEVER = frozenset("nav footer aside form head menu select button dialog".split()
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner menu nav navbar navigation sidebar cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended comment comments disqus breadcrumb breadcrumbs footer pagination pager promo promotion widget login toolbar masthead topbar".split())
 MAIN = frozenset(("article", "main"))
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+
+
+class Line(NamedTuple):
+    text: str
+    hidden: bool
+    linked: bool  # mostly link text
+    inside: bool  # of an article
+    paragraph: bool
+    container: int  # the element that holds the paragraph, or else the line
 
 
 def hides(tag: str, attributes: str, inside: bool) -> bool:
@@ -53,26 +66,27 @@ def hides(tag: str, attributes: str, inside: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub("", attributes), re.I))
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Text, weight and whether it stands in the article, of every line; whether the page marks an article."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
+def lines(page: str) -> tuple[list[Line], bool]:
+    """All lines, empty ones where they are hidden; whether the page marks an article."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, int]] = []
     text: list[str] = []
-    linked = hidden = inside = link = 0
+    linked = hidden = inside = link = opened = 0
     marked = False
 
     def end() -> None:
         nonlocal linked
         line = " ".join(entities.unescape("".join(text)).split())
         if line or hidden:
-            heavy = 0 if hidden or linked > len(line) / 2 and not inside else len(line)
-            out.append((line, heavy, inside > 0))
+            paragraph = bool(stack) and stack[-1][0] in PARAGRAPHS
+            holder = stack[:-1] if paragraph else stack
+            out.append(Line(line, hidden > 0, linked > len(line) / 2, inside > 0, paragraph, holder[-1][2] if holder else 0))
         text.clear()
         linked = 0
 
     def drop(at: int) -> None:
         nonlocal hidden, inside
-        for tag, hides_ in stack[at:]:
+        for tag, hides_, _ in stack[at:]:
             hidden -= hides_
             inside -= tag in MAIN
         del stack[at:]
@@ -108,7 +122,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if tag in BLOCK or hide:
                 if hide and tag not in BLOCK:
                     end()
-                stack.append((tag, hide))
+                opened += 1
+                stack.append((tag, hide, opened))
                 hidden += hide
                 inside += tag in MAIN
                 marked |= tag in MAIN and not hidden
@@ -116,26 +131,38 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return out, marked
 
 
-def main_text(page: str) -> str:
-    found, marked = lines(page)
-    if not found:
-        return ""
-    weight = np.array([w if s or not marked else 0 for _, w, s in found])
-    # Inside an article, what is hidden is left out and the text around it stays together; elsewhere it parts the text.
-    rows = [i for i, (_, w, s) in enumerate(found) if w or not (marked and s)]
-    if not rows:
-        return ""
+def sums(weight: np.ndarray) -> np.ndarray:
+    """Sums of weight over windows of WINDOW lines that begin before, in or at the end of the lines."""
+    padded = np.append(np.zeros(WINDOW), np.append(weight, np.zeros(WINDOW)))
+    return np.convolve(padded, np.ones(WINDOW), "full")[WINDOW - 1 :][: len(padded)]
+
+
+def surges(weight: np.ndarray) -> list[int]:
+    """Places of the lines with weight between the surges and dives that peak high enough."""
     # A gap narrower than a window, such as one advert between two paragraphs, does not part the text.
-    padded = np.append(np.zeros(WINDOW), np.append(weight[rows], np.zeros(WINDOW)))
-    sums = np.convolve(padded, np.ones(WINDOW), "full")[WINDOW - 1 :][: len(padded)]
-    live = padded > 0
-    edge = np.flatnonzero(np.diff((sums > 0).astype(np.int8)))
-    peak = sums.max()
-    keep = []
+    total = sums(weight)
+    edge = np.flatnonzero(np.diff((total > 0).astype(np.int8)))
+    least = min(THRESHOLD, total.max() / 2)
+    keep: set[int] = set()
     for surge, dive in zip(edge[::2] + 1, edge[1::2] + 1, strict=False):
-        if sums[surge:dive].max() >= min(THRESHOLD, peak / 2):
-            keep += [rows[i - WINDOW] for i in range(surge, min(dive + WINDOW, len(padded))) if live[i]]
-    return "\n".join(found[i][0] for i in sorted(set(keep)))
+        if total[surge:dive].max() >= least:
+            keep.update(range(max(0, surge - WINDOW), min(dive, len(weight))))
+    return [i for i in sorted(keep) if weight[i] > 0]
+
+
+def main_text(page: str) -> str:
+    found, marked = lines(page)
+    if marked:
+        # Lines outside stay as empty ones, which part articles; what is hidden in an article leaves the text around it together.
+        rows = [x for x in found if not (x.inside and x.hidden)]
+        inside = np.array([len(x.text) if x.inside else 0 for x in rows], float)
+        outside = np.array([0 if x.inside or x.hidden or x.linked else len(x.text) for x in rows], float)
+        if 2 * sums(inside).max() >= sums(outside).max():
+            return "\n".join(rows[i].text for i in surges(inside))
+    rows = [x for x in found if x.text and not x.hidden]
+    kept = set(surges(np.array([0 if x.linked else len(x.text) for x in rows], float)))
+    holders = {rows[i].container for i in kept}
+    return "\n".join(x.text for i, x in enumerate(rows) if i in kept or x.paragraph and x.container in holders)
 
 
 def extract(pages: DataFrame) -> DataFrame:

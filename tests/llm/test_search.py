@@ -195,6 +195,22 @@ def test_pages(spark):
     assert line_blocks.extract(df.limit(0)).count() == 0
 
 
+def test_pages_without_a_trusted_article():
+    long, more = "word " * 59 + "word", "more " * 59 + "more"
+    share = "<ul>" + "".join(f"<li><a href=x>to site {k}</a></li>" for k in range(5)) + "</ul>"
+    teaser = f"<body><article><a href=x>Teaser</a></article><h1>Title</h1><p>{long}</p><p>{more}</p></body>"
+    assert line_blocks.main_text(teaser).endswith(f"Title\n{long}\n{more}")
+    parted = f"<body><h1>Title</h1>{share}<p>{long}</p>{share}<p>Last.</p></body>"
+    assert line_blocks.main_text(parted) == f"Title\n{long}\nLast."
+    hidden = f"<div><h1>Title</h1><div class=share>{'<p>s</p>' * 5}</div><p>{long}</p><p><a href=x>{more}</a></p></div><nav><p>menu</p></nav>"
+    assert line_blocks.main_text(hidden) == f"Title\n{long}\n{more}"
+    apart = f"<div>{share}</div><div><p>{long}</p></div><div>{share}</div><div><p>Imprint</p></div>"
+    assert line_blocks.main_text(apart) == long
+    article = f"<article><h1>Title</h1><p>{long}</p></article><div>{share}<p>{more}</p></div>"
+    assert line_blocks.main_text(article) == f"Title\n{long}"
+    assert line_blocks.main_text(share) == line_blocks.main_text("<article></article>") == ""
+
+
 def test_long_page_is_kept_whole():
     body = [f"paragraph {k}" for k in range(20_000)]
     assert line_blocks.main_text("<article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>") == "\n".join(body)
