@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tenuria.llm.frames import slices, texts, utf8
 from tenuria.llm.wordmemo import library_memo
 
-BLOCK = 1 << 16
+BLOCK, OPENING = 1 << 16, 256
 FILE = pa.schema([
     ("part", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("layout", pa.string()),
     ("planes", pa.list_(pa.binary())), ("seq", pa.int64()), ("opens", pa.bool_()), ("closes", pa.bool_()),
@@ -65,7 +65,7 @@ def from_planes(planes: list[bytes], n: int, layout: str) -> np.ndarray:
 
 
 def write_planes(docs: DataFrame, path: str, config: str, end_id: int = 0, block: int = BLOCK, layout: str = "byte", parts: int | None = None) -> None:
-    """Encode whole texts by the tokenizers library, add `end_id` to each, write the planes. parts: ranges of doc_id."""
+    """Encode whole texts by the tokenizers library, add `end_id` to each, write the planes. parts: ranges of doc_id and text."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(config)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -106,7 +106,8 @@ def write_planes(docs: DataFrame, path: str, config: str, end_id: int = 0, block
         if len(ids):
             yield row(len(ids))
 
-    ranged = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Texts of one doc_id, or of none, are dealt by how they begin, which agrees with their order.
+    ranged = texts(docs).repartitionByRange(parts, "doc_id", F.substring("text", 1, OPENING)).sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(blocks, DDL).write.option("compression", "uncompressed").parquet(path)
 
 

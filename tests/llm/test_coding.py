@@ -80,6 +80,18 @@ def test_file_of_documents(spark, tmp_path, library, layout, block):
         at += len(expected)
 
 
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path, library):
+    texts = [f"{k} text {k * k}" for k in range(400)]
+    ids = [None if k % 4 else k for k in range(400)]
+    path = str(tmp_path / "planes")
+    token_planes.write_planes(documents(spark, texts, ids), path, CONFIG, parts=8)
+    rows = sorted(token_planes.read_planes(spark, path).collect(), key=lambda r: r.start)
+    want = sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [(r.doc_id, bytes(r.ids)) for r in rows] == [(d, np.array([*ids_of(library, t), 0], "<u4").tobytes()) for d, t in want]
+    held = spark.read.parquet(path).selectExpr("part", "explode(doc_ids) AS d").where("d is null").groupBy("part").count().collect()
+    assert len(held) >= 4 and max(r["count"] for r in held) <= 120
+
+
 def test_empty_tables(spark, tmp_path):
     token_planes.write_planes(empty(spark), str(tmp_path / "p"), CONFIG)
     assert token_planes.read_planes(spark, str(tmp_path / "p")).count() == 0
