@@ -113,10 +113,12 @@ def lowest_cost(
     return _point(grid, by, cost)
 
 
-def within_capacity(rows: DataFrame, max_interventions: int, min_precision: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+def within_capacity(
+    rows: DataFrame, max_interventions: int, min_precision: float = 0.5, by: Sequence[str] = (), fallback: float | None = 0.9
+) -> DataFrame:
     """Highest recall among thresholds that flag 1..max rows at the required precision.
 
-    Falls back to 0.9 with a warning when no threshold qualifies.
+    Where no threshold qualifies: the fallback with a warning, or no row if there is no fallback.
     """
     grid = sweep(rows, by, D.FINE_THRESHOLDS)
     n = F.col("n_predicted_positive")
@@ -125,10 +127,12 @@ def within_capacity(rows: DataFrame, max_interventions: int, min_precision: floa
     best = grid.groupBy(*by).agg(
         F.max_by(F.when(ok, row), F.when(ok, F.struct("recall", "threshold"))).alias("b")
     )
+    if fallback is None:
+        best = best.where(F.col("b").isNotNull())
     b = lambda f, default: F.coalesce(F.col(f"b.{f}"), F.lit(default))
     return best.select(
         *by,
-        b("threshold", 0.9).alias("threshold"),
+        b("threshold", fallback).alias("threshold"),
         b("n", 0).alias("n_interventions"),
         b("precision", 0.0).alias("precision"),
         b("recall", 0.0).alias("recall"),

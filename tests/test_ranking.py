@@ -155,3 +155,10 @@ def test_exact_quantiles_open_only_slots_with_wanted_positions(spark):
         got = {(r["g"], r["prob"]): r["quantile"] for r in rows(exact_quantiles(df, ["g"], "v", probs, slots))}
         want = {(g, p): np.quantile([v for k, v in data if k == g and v is not None], p) for g in ("a", "b", "c", None) for p in probs}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_capacity_without_a_fallback_names_no_threshold(spark):
+    """The query's SQL has no row where no threshold qualifies; the one that does qualify stays the same."""
+    df = spark.range(1000).select(F.col("id").alias("customer_id"), (F.col("id") / 1000).alias("score"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    assert rows(thresholds.within_capacity(df, 5, 0.9, fallback=None)) == []
+    assert rows(thresholds.within_capacity(df, 400, 0.1, fallback=None)) == rows(thresholds.within_capacity(df, 400, 0.1))
