@@ -198,3 +198,41 @@ def test_run_table_counts_a_run_once_and_names_the_champion(spark, tmp_path):
     assert [(r["run_id"], r["auc_pr"]) for r in rows(training.runs(spark, path), "run_id")] == [("a", 0.5), ("b", 0.9), ("c", 0.3)]
     assert [r["run_id"] for r in rows(training.champion(spark, path))] == ["a"]
     assert rows(training.champion(spark, path).where("run_id = 'z'")) == []
+
+
+def test_bundled_histogram_is_the_sum_of_every_column():
+    draw = np.random.default_rng(5)
+    sizes, n, nodes = np.array([64, 3, 1, 4, 9, 256, 5]), 4000, 3
+    bins = np.stack([draw.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    slot, g, h = draw.integers(0, nodes, n).astype(np.uint8), draw.normal(size=n), draw.random(n)
+    got = boosting._padded(boosting._histogram(slot, bins, g, h, nodes, sizes), sizes, 256)
+    for node in range(nodes):
+        for c, column in enumerate(bins):
+            for k, v in enumerate((g, h, np.ones(n))):
+                assert np.allclose(got[node, c, :, k], np.bincount(column[slot == node], v[slot == node], 256))
+    assert len(boosting._bundles(sizes)) < len(sizes)
+
+
+def test_fits_of_many_rows_shuffle_no_rows_by_node(fitted, monkeypatch):
+    """Their blocks run across Arrow batches and lie evenly in the partitions; no level sends its rows to other tasks."""
+    frame, names, _ = fitted
+    calls = []
+    finish = boosting._finish
+    monkeypatch.setattr(boosting, "_finish", lambda *a: calls.append(1) or finish(*a))
+    few = boosting.fit_many(frame, names, [boosting.Fit(F.lit(True))], rounds=2, in_task=100, **SMALL)[0]
+    assert calls
+    calls.clear()
+    many = boosting.fit_many(frame, names, [boosting.Fit(F.lit(True))], rounds=2, in_task=60, **SMALL)[0]
+    assert not calls
+    same(few, many)
+
+
+def test_margins_kept_every_few_rounds_are_those_of_all_trees(fitted):
+    frame, names, _ = fitted
+    model = boosting.fit_many(frame, names, [boosting.Fit(F.col("customer_id") % 4 > 0, F.col("customer_id") % 4 == 0)], rounds=boosting.KEEP + 2, patience=99, **SMALL)[0]
+    held = frame.where("customer_id % 4 = 0").toPandas()
+    cells = np.zeros((boosting.SCORE_CELLS, 2))
+    at = ((np.clip(model.margins(held[names].to_numpy(float)), -boosting.STEEP, boosting.STEEP) + boosting.STEEP) * ((boosting.SCORE_CELLS - 1) / (2 * boosting.STEEP))).astype(int)
+    np.add.at(cells, (at, 0), 1)
+    np.add.at(cells, (at[held["label"] == 1], 1), 1)
+    assert boosting.average_precision(cells) == pytest.approx(model.validation[len(model.trees) - 1])
