@@ -230,8 +230,11 @@ _LAYERED = {"bronze.customers": "a_customers", "bronze.support_tickets": "a_tick
 def create_layers(spark, d):
     """All layers created twice and loaded twice: a full refresh leaves one copy of the rows."""
     t, prefix = account_tables(spark, d), f"run{uuid4().hex[:12]}_"
-    source = {"bronze.customers": t.customers, "bronze.support_tickets": t.tickets, "silver.customers": t.silver_customers,
-              "silver.daily_engagement": t.engagement, "silver.support_tickets": t.silver_tickets}
+    # Each table is derived from the raw ones once; silver tables and both loads read what was written.
+    days = stored(accounts.account_days(spark, d))
+    customers, tickets, engagement = (stored(table(spark, d, days)) for table in (accounts.customers, accounts.tickets, accounts.engagement))
+    source = {"bronze.customers": customers, "bronze.support_tickets": tickets, "silver.customers": silver.silver_customers(customers, t.source.END),
+              "silver.daily_engagement": engagement, "silver.support_tickets": silver.silver_tickets(tickets)}
     try:
         for _ in range(2):
             layers.create_layers(spark, prefix)

@@ -73,10 +73,14 @@ def episodes(orders: DataFrame) -> DataFrame:
     )
 
 
-def customers(spark: SparkSession, directory: str) -> DataFrame:
-    """Bronze-shaped customers (26 columns), one row per account."""
+def account_days(spark: SparkSession, directory: str) -> DataFrame:
+    return episodes(read(spark, directory, "orders"))
+
+
+def customers(spark: SparkSession, directory: str, days: DataFrame | None = None) -> DataFrame:
+    """Bronze-shaped customers (26 columns), one row per account. `days`: account_days that several tables share."""
     life = (
-        episodes(read(spark, directory, "orders"))
+        (account_days(spark, directory) if days is None else days)
         .groupBy("o_custkey", "customer_id")
         .agg(F.min("activity_date").alias("signup_date"), F.max("activity_date").alias("last_day"))
         .withColumn(
@@ -101,7 +105,7 @@ def customers(spark: SparkSession, directory: str) -> DataFrame:
     ).drop("o_custkey", "c_custkey")
 
 
-def engagement(spark: SparkSession, directory: str) -> DataFrame:
+def engagement(spark: SparkSession, directory: str, days: DataFrame | None = None) -> DataFrame:
     """(customer_id, activity_date) with logins, line items, distinct parts, quantity."""
     orders = read(spark, directory, "orders")
     lines = (
@@ -116,7 +120,7 @@ def engagement(spark: SparkSession, directory: str) -> DataFrame:
         )
     )
     return (
-        episodes(orders)
+        (episodes(orders) if days is None else days)
         .join(lines, ["o_custkey", "activity_date"], "left")
         .select(
             "customer_id",
@@ -140,10 +144,10 @@ def deduplicated_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def tickets(spark: SparkSession, directory: str) -> DataFrame:
+def tickets(spark: SparkSession, directory: str, days: DataFrame | None = None) -> DataFrame:
     """Bronze-shaped tickets from returned line items."""
     orders = read(spark, directory, "orders")
-    accounts = episodes(orders).select("o_custkey", "activity_date", "customer_id")
+    accounts = (episodes(orders) if days is None else days).select("o_custkey", "activity_date", "customer_id")
     owners = orders.select(
         "o_orderkey", "o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("activity_date")
     )

@@ -121,3 +121,19 @@ def test_events_load_keeps_the_payload(spark, tables):
     events = activity.bronze_events(spark, SMALL)
     assert layers.load(events, "bronze.events") == events.count()
     assert spark.table("bronze.events").where(F.col("event_properties").isNull()).count() == 0
+
+
+def test_layers_derive_each_table_from_the_raw_ones_once(spark, monkeypatch):
+    """Two loads of five tables: days, customers, tickets and engagement are worked out once each, and a load shuffles nothing."""
+    from tenuria.plans import silver_queries
+    from tenuria.sources import accounts
+
+    calls, plans = [], []
+    for name in ("account_days", "customers", "tickets", "engagement"):
+        made = getattr(accounts, name)
+        monkeypatch.setattr(accounts, name, lambda *a, name=name, made=made: calls.append(name) or made(*a))
+    load = layers.load
+    monkeypatch.setattr(layers, "load", lambda df, table: plans.append(df._jdf.queryExecution().executedPlan().toString()) or load(df, table))
+    counted = silver_queries.create_layers(spark, "/root/testdata/sf0.001")
+    assert counted.count() == 7 and sorted(calls) == ["account_days", "customers", "engagement", "tickets"]
+    assert len(plans) == 10 and not any("Exchange" in p for p in plans)
