@@ -227,6 +227,8 @@ def customer_360(
     `active_only` keeps customers that have not churned by P (the rows a model should see).
     """
     dates = as_dates(dates)
+    if len(dates) > 1:  # all parts meet by customer; a customer's snapshots are made where its rows are
+        customers = customers.repartition("customer_id")
     rows = base(customers, dates, point_in_time)
     if active_only:
         rows = rows.where(F.col("churn_date").isNull() | (F.col("churn_date") > F.col("prediction_date")))

@@ -93,6 +93,7 @@ def snapshot_aggregate(
     With several dates a row joins only the snapshots whose window it falls in, plus its first one;
     lifetime values are then carried forward by a running window over at most len(dates) rows per
     key. The work is rows x overlapping windows, not rows x dates: on an even grid the snapshots of a row are found by arithmetic.
+    Rows are shuffled once by key, before they are placed, so that neither their copies nor the carried values are.
     """
     dates = as_dates(dates)
     sums, maxes, mins = dict(lifetime_sums or {}), dict(lifetime_maxes or {}), dict(window_mins or {})
@@ -111,6 +112,7 @@ def snapshot_aggregate(
             .withColumn("prediction_date", p)
         )
 
+    rows = rows.repartition(key)
     d = F.col(date_col)
     grid, reach = Grid.of(dates), F.date_add(d, span_days)
     if grid:

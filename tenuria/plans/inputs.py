@@ -53,10 +53,13 @@ class Tables:
             days = stored(activity.user_days(self.spark, self.directory))
             customers = activity.customers(self.spark, self.directory, days)
             daily = activity.engagement(self.spark, self.directory, days)
+            tickets = self.tickets
         else:
-            customers, daily = self.customers, stored(self.engagement)
+            days = stored(accounts.account_days(self.spark, self.directory))
+            customers, tickets = (table(self.spark, self.directory, days) for table in (accounts.customers, accounts.tickets))
+            daily = stored(accounts.engagement(self.spark, self.directory, days))
         return features.customer_360(
-            silver.silver_customers(customers, self.source.END), daily, self.silver_tickets, dates, **options
+            silver.silver_customers(customers, self.source.END), daily, silver.silver_tickets(tickets), dates, **options
         )
 
 

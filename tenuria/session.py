@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     # Split a hot join key even when that costs one more exchange later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Parts that lie by customer join on (customer, date) as they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 TUNED = "tenuria.tuned"
 

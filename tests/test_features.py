@@ -185,3 +185,17 @@ def test_even_and_uneven_grids_agree(spark):
     people = days.select("customer_id", F.col("day").alias("signup_date"))
     expand = lambda dates: sorted(map(str, snapshots.expand_base(people, dates).where(F.col("prediction_date") <= F.lit(even[-1])).collect()))
     assert expand(even) == expand(uneven)
+
+
+def test_many_snapshots_shuffle_rows_once_by_customer(spark):
+    """Before they are copied to their snapshots; the parts of the 360 then join as they lie."""
+    dates = snapshots.date_grid("2024-01-10", "2024-04-01", 7)
+    days = spark.range(500).selectExpr("id % 40 AS customer_id", "date_add(DATE '2024-01-01', cast(id % 90 AS int)) AS day", "id AS v")
+    out = snapshots.snapshot_aggregate(days, "customer_id", "day", dates, 30, {"w": lambda a: F.when(a <= 30, F.col("v"))}, {"s": F.col("v")})
+    other = days.repartition("customer_id").selectExpr("customer_id", "explode(array(DATE '2024-01-10', DATE '2024-01-17')) AS prediction_date")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (out, other.join(out, ["customer_id", "prediction_date"], "left"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 2]
