@@ -180,8 +180,8 @@ def intervention_plan(spark, d):
 )
 def intervention_categories(spark, d):
     planned = interventions.plans(_explained(spark, d), ["customer_id"])
-    return planned.select("customer_id", F.explode("intervention_categories").alias("category", "a")).select(
-        "customer_id", "category", F.array_join("a", "; ").alias("actions")
+    return interventions.category_rows(planned, ["customer_id"]).select(
+        "customer_id", "category", F.array_join("actions", "; ").alias("actions")
     )
 
 
