@@ -3,10 +3,11 @@
 A document's set is that of its distinct word shingles. Documents of one set are one record, with a signature of COORDINATES minwise
 tokens. A tree branches a record at each node along a minwise token: the node chooses one coordinate of the signature, in a quarter of
 the nodes two (1.25 = 1 / 0.8 on average, so that a pair at the threshold keeps one common branch), and the record goes to the child of
-that coordinate and its token there. After DEPTH levels each record of a node is paired with the node's first one, and nodes of more
-than NODE records go on for DEPTH more levels, twice. Links among these pairs give classes. A node of one class has nothing left to find, so groups
-of near copies are never paired within. Other nodes are compared exhaustively, but only between classes: small ones as a whole, larger
-ones in chunks of the records outside their largest class, each against the whole node.
+that coordinate and its token there. After DEPTH levels each record of a node is paired with the node's first one. Links among these
+pairs give classes. A node of one class has nothing left to find, so groups of near copies are never paired within. Other nodes are
+compared exhaustively, but only between classes: nodes of at most NODE records as a whole by signatures, larger ones in blocks of
+the records outside their largest class against blocks of the whole node, on full sets, so that of these pairs only links become rows.
+Branching large nodes further would lose links (each level keeps a pair at the threshold in fewer trees) for fewer comparisons.
 
 A pair at similarity 0.8 keeps a common branch over four levels in 0.577 of the trees, so TREES = 20 trees miss 0.423^20 = 3e-8 of such
 pairs, and fewer above. The signature rules out pairs 5.6 deviations below the threshold; the rest are confirmed on their full sets
@@ -32,8 +33,9 @@ from tenuria.llm.simhash import LOWER
 from tenuria.session import stored
 
 WORDS, THRESHOLD = 4, 80
-COORDINATES, TREES, DEPTH, ROUNDS, NODE = 128, 20, 4, 3, 64
+COORDINATES, TREES, DEPTH, NODE = 128, 20, 4, 64
 SURE = 0.6
+BLOCK = 1 << 15  # shingles of a block of NODE records, unless one record has more
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -106,8 +108,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def branch(rows: DataFrame, levels: int = DEPTH) -> DataFrame:
-    """sid, node: the nodes `levels` below those of the rows (sid, signature and a node, or without one the roots of all trees)."""
-    begun = "node" in rows.columns
+    """sid, node: the nodes `levels` below the roots of all trees (rows: sid, signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -115,11 +116,7 @@ def branch(rows: DataFrame, levels: int = DEPTH) -> DataFrame:
                 batch = whole.slice(at, 4096)
                 n = batch.num_rows
                 marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, COORDINATES)
-                row, path = np.arange(n), None
-                if begun:
-                    path = batch.column(2).to_numpy().view(np.uint64)
-                else:
-                    row, path = np.tile(row, TREES), np.repeat(mix(np.arange(1, TREES + 1, dtype=np.uint64), 0xE7037ED1A0B428DB), n)
+                row, path = np.tile(np.arange(n), TREES), np.repeat(mix(np.arange(1, TREES + 1, dtype=np.uint64), 0xE7037ED1A0B428DB), n)
                 for _ in range(levels):
                     chosen = mix(path, 0xD6E8FEB86659FD93)
                     second = chosen % np.uint64(4) == 0
@@ -132,7 +129,7 @@ def branch(rows: DataFrame, levels: int = DEPTH) -> DataFrame:
                 new = np.append(True, (row[1:] != row[:-1]) | (path[1:] != path[:-1])) if len(row) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(path[new].view(np.int64))], ["sid", "node"])
 
-    return rows.select("sid", "signature", *(["node"] if begun else [])).mapInArrow(run, "sid long, node long")
+    return rows.select("sid", "signature").mapInArrow(run, "sid long, node long")
 
 
 def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -174,20 +171,12 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFra
 
 
 def nodes_of(marks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) of each node's first record with its others; the rows (node, sid) of small nodes, and of those still large at the end."""
-    rows, stars, small, large = marks, None, None, None
-    for _ in range(ROUNDS):
-        nodes = stored(branch(rows))
-        sizes = stored(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"))
-        met = stored(nodes.join(sizes, "node"))
-        pairs = met.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-        few = met.where(F.col("n") <= NODE).select("node", "sid")
-        stars, small = (pairs, few) if stars is None else (stars.union(pairs), small.union(few))
-        large = met.where(F.col("n") > NODE).select("node", "sid")
-        if large.isEmpty():
-            break
-        rows = large.join(marks.select("sid", "signature"), "sid")
-    return stars.distinct(), small, large
+    """Pairs (a, b) of each node's first record with its others; the rows (node, sid) of small nodes, and of large ones."""
+    nodes = stored(branch(marks))
+    sizes = stored(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"))
+    met = stored(nodes.join(sizes, "node"))
+    stars = met.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
+    return stars, met.where(F.col("n") <= NODE).select("node", "sid"), met.where(F.col("n") > NODE).select("node", "sid")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,24 +195,64 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def between_classes(rows: DataFrame, labels: DataFrame, marks: DataFrame, whole: bool) -> DataFrame:
-    """Likely pairs (a, b) of different classes in the nodes of `rows`: within whole nodes of at most NODE records, or the records outside
-    a node's largest class, in chunks, against chunks of all its records."""
+def _linked(x: pa.StructArray, y: pa.StructArray, threshold: int) -> set[tuple[int, int]]:
+    """Links a < b between records (sid, label, shingles) of two blocks that are of different classes, on full sets."""
+    sids, labels = ([side.field(k).to_numpy() for side in (x, y)] for k in (0, 1))
+    sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in side.field(2)] for side in (x, y)]
+    sizes = [np.array([len(s) for s in some], np.int64) for some in sets]
+    owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    every = [np.concatenate(some) for some in sets]
+    shared, both = np.intersect1d(*every), np.zeros((len(x), len(y)), np.int64)
+    places = [np.searchsorted(shared, h) for h in every]
+    inside = [(p < len(shared)) & (shared[np.minimum(p, len(shared) - 1)] == h) for p, h in zip(places, every, strict=True)] if len(shared) else None
+    for at in range(0, len(shared), 8192):  # shared shingles as columns of ones, in parts
+        width, parts = min(8192, len(shared) - at), []
+        for place, owner, known, n in zip(places, owners, inside, sizes, strict=True):
+            some = known & (place >= at) & (place < at + width)
+            ones = np.zeros((len(n), width), np.float32)
+            ones[owner[some], place[some] - at] = 1
+            parts.append(ones)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    link = (100 * both >= threshold * (sizes[0][:, None] + sizes[1] - both)) & (labels[0][:, None] != labels[1])
+    return {(min(p), max(p)) for p in ((int(sids[0][i]), int(sids[1][j])) for i, j in zip(*np.nonzero(link), strict=True))}
+
+
+def mixed_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, sid, label, and the largest class `main` of the node; for nodes of several classes."""
     placed = stored(labelled(rows, labels, "sid", "label"))
     counts = placed.groupBy("node", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    main = counts.groupBy("node").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    return stored(placed.join(main.select("node", "main"), "node"))
+
+
+def within_nodes(mixed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of different classes in small nodes."""
     members = F.collect_list(F.struct("sid", "label", "sketch"))
-    mixed = placed.join(main.select("node", F.col("main.label").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("outside")), "node")
-    mixed = stored(mixed.join(marks.select("sid", "sketch"), "sid"))
-    if whole:
-        lists = mixed.groupBy("node").agg(members.alias("x")).select("x", F.col("x").alias("y"))
-    else:
-        chunk = lambda size: F.pmod(F.xxhash64("sid"), F.ceil(F.col(size) / NODE))
-        some = mixed.where("label <> main").groupBy("node", chunk("outside").alias("c")).agg(members.alias("x")).select("node", "x")
-        lists = some.join(mixed.groupBy("node", chunk("n").alias("c")).agg(members.alias("y")).select("node", "y"), "node").select("x", "y")
+    lists = mixed.join(marks.select("sid", "sketch"), "sid").groupBy("node").agg(members.alias("x")).select("x", F.col("x").alias("y"))
     return lists.mapInArrow(_compare, "a long, b long").distinct()
 
 
+def across_blocks(mixed: DataFrame, marks: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (a, b) between classes in large nodes: blocks of the records outside a node's largest class against blocks of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                found |= _linked(x.values, y.values, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sized = stored(mixed.join(marks.select("sid", "n_shingles"), "sid"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        parts = rows.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / NODE, F.sum("n_shingles") / BLOCK)).alias("parts"))
+        cut = rows.join(parts, "node").withColumn("block", F.pmod(F.xxhash64("sid"), "parts")).join(sets, "sid")
+        return cut.groupBy("node", "block").agg(F.collect_list(F.struct("sid", "label", "shingles")).alias(name)).select("node", name)
+
+    pairs = blocks(sized.where("label <> main"), "x").join(blocks(sized, "y"), "node").select("x", "y")
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
 def wanted(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """sid, text_key of the records in pairs."""
     return own.join(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "sid").select("sid", "text_key")
@@ -236,7 +265,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows = stored(records(docs))
     full = rows.where(F.col("digest").isNotNull())
     own = stored(full.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("signature").alias("signature"),
-                                            F.min("sketch").alias("sketch")).withColumn("sid", F.monotonically_increasing_id()))
+                                            F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")).withColumn("sid", F.monotonically_increasing_id()))
     stars, small, large = nodes_of(own.select("sid", "signature"))
     pairs = stored(likely(stars, own))
     sets = stored(sets_of(docs, wanted(pairs, own)))
@@ -246,10 +275,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     apart = labelled(labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").select("a", "b")
     edges = stored(edges.union(confirmed(apart, sets, threshold)))
     labels = components(edges, "a", "b")
-    rest = stored(between_classes(small, labels, own, True).union(between_classes(large, labels, own, False)).distinct())
-    if not rest.isEmpty():
-        more = sets_of(docs, wanted(rest, own).join(sets, "sid", "left_anti"))
-        edges = edges.union(stored(confirmed(rest, stored(sets.union(more)), threshold)))
+    several, crowded = mixed_nodes(small, labels), mixed_nodes(large, labels)
+    rest = stored(within_nodes(several, own))
+    lacking = wanted(rest, own).union(own.join(crowded.select("sid").distinct(), "sid").select("sid", "text_key")).distinct()
+    if not lacking.isEmpty():
+        sets = stored(sets.union(sets_of(docs, lacking.join(sets, "sid", "left_anti"))))
+        edges = stored(edges.union(confirmed(rest, sets, threshold)).union(across_blocks(crowded, own, sets, threshold)))
         labels = components(edges, "a", "b")
     placed = labelled(own.select("sid", "digest", "least"), labels, "sid", "label")
     first = placed.groupBy("label").agg(F.min("least").alias("component_id"))

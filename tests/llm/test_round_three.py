@@ -46,6 +46,10 @@ def brute_links(rows):
     return sorted(map(str, out))
 
 
+def brute_components(texts):
+    return sorted((int(i), int(c)) for i, _, c, _ in (row.strip("()").split(", ") for row in brute_links(list(enumerate(texts)))))
+
+
 def found_links(df):
     return sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in df.collect())
 
@@ -79,6 +83,41 @@ def test_a_node_that_stays_large_loses_no_link(spark, monkeypatch):
     assert found_links(chosen_path.near_duplicates(documents(spark, texts))) == brute_links(list(enumerate(texts)))
 
 
+def test_a_crowd_below_the_threshold_grows_in_proportion(spark, monkeypatch):
+    """Records at similarity 0.74 to one another, none linked: no step writes rows for their pairs (op11, round 3)."""
+    keep, written = chosen_path.stored, []
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "stored", counted)
+    most = {}
+    for n in (150, 300):
+        texts = []
+        for k in range(n):
+            words = [f"t{i}" for i in range(163)]
+            for i in random.Random(k).sample(range(8, 150, 6), 3):
+                words[i] = f"own{k}x{i}"
+            texts.append(" ".join(words))
+        written.clear()
+        got = chosen_path.near_duplicates(documents(spark, texts)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == brute_components(texts)
+        most[n] = max(written)
+    assert most[300] < 3 * most[150]
+
+
+@pytest.mark.parametrize("size", [1 << 15, 300])
+def test_blocks_of_large_nodes_give_the_links(spark, monkeypatch, size):
+    """Blocks of many and of few records."""
+    rng = random.Random(9)
+    texts = varied(rng, ["w%d" % i for i in range(900)], 70, 120) + ["one " * 3, "two"]
+    monkeypatch.setattr(chosen_path, "NODE", 6)
+    monkeypatch.setattr(chosen_path, "BLOCK", size)
+    assert found_links(chosen_path.near_duplicates(documents(spark, texts))) == brute_links(list(enumerate(texts)))
+
+
 def test_pairs_just_at_the_threshold(spark):
     """Sets of 100 shingles that share 89 (similarity 89 / 111 = 0.802) are linked, those that share 88 (0.786) are not."""
     texts = []
