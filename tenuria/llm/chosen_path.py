@@ -246,7 +246,7 @@ def across_blocks(mixed: DataFrame, marks: DataFrame, sets: DataFrame, threshold
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         parts = rows.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / NODE, F.sum("n_shingles") / BLOCK)).alias("parts"))
-        cut = rows.join(parts, "node").withColumn("block", F.pmod(F.xxhash64("sid"), "parts")).join(sets, "sid")
+        cut = rows.join(parts, "node").withColumn("block", F.pmod(F.xxhash64("sid"), "parts")).join(sets, "sid").repartition("node")  # sets move once
         return cut.groupBy("node", "block").agg(F.collect_list(F.struct("sid", "label", "shingles")).alias(name)).select("node", name)
 
     pairs = blocks(sized.where("label <> main"), "x").join(blocks(sized, "y"), "node").select("x", "y")
