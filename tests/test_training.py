@@ -236,3 +236,71 @@ def test_margins_kept_every_few_rounds_are_those_of_all_trees(fitted):
     np.add.at(cells, (at, 0), 1)
     np.add.at(cells, (at[held["label"] == 1], 1), 1)
     assert boosting.average_precision(cells) == pytest.approx(model.validation[len(model.trees) - 1])
+
+
+def test_small_fits_take_one_job_for_all_rounds(fitted, monkeypatch):
+    frame, names, _ = fitted
+    fits = [boosting.Fit(F.col("customer_id") % 4 > i, F.col("customer_id") % 4 == i) for i in (0, 1)]
+    by_level = boosting.fit_many(frame, names, fits, rounds=6, patience=2, in_task=0, **SMALL)
+
+    def never(*_):
+        raise AssertionError("a job per round")
+
+    monkeypatch.setattr(boosting, "_level", never)
+    monkeypatch.setattr(boosting, "_finish", never)
+    begun = boosting.fit_many(frame, names, fits, rounds=2, patience=2, **SMALL)
+    for whole, gone_on, level in zip(boosting.fit_many(frame, names, fits, rounds=6, patience=2, **SMALL),
+                                     boosting.fit_many(frame, names, fits, start=begun, rounds=6, patience=2, **SMALL) if all(len(m.trees) == 2 for m in begun) else by_level,
+                                     by_level, strict=True):
+        same(whole, level), same(gone_on, level)
+        assert whole.validation == pytest.approx(level.validation)
+
+
+@pytest.mark.parametrize(("depth", "width"), [(3, 256), (6, 4096), (8, 1024)])
+def test_rows_end_where_descending_the_tree_ends(depth, width):
+    """Tables over the cells of bundles, also for trees with more ends than a word has bits."""
+    draw = np.random.default_rng(depth)
+    sizes, n = [64, 3, 1, 4, 9, 40, 5], 3000
+    bins = np.stack([draw.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    layout = boosting._layout(sizes, width)
+    nodes = [[-1, 0.0, -1, -1, 0.0, 0.0, 0.0, 0]]
+    level = [0]
+    for _ in range(depth):
+        below = []
+        for at in level:
+            f = int(draw.choice([0, 1, 3, 4, 5, 6]))
+            nodes[at] = [f, 0.0, len(nodes), len(nodes) + 1, 0.0, 0.0, 0.0, int(draw.integers(0, sizes[f] - 1))]
+            below += [len(nodes), len(nodes) + 1]
+            nodes += [[-1, 0.0, -1, -1, 0.0, 0.0, 0.0, 0] for _ in range(2)]
+        level = below
+    tree = boosting.Tree(*[np.array(c) for c in zip(*nodes, strict=True)])
+    for wanted in (level, level[1::3], [1, *level[len(level) // 2 :: 2]]):
+        exits = boosting._exits(tree, layout, wanted)
+        at = {node: i for i, node in enumerate(wanted, 1)}
+        got = boosting._ends(exits, boosting._pack(bins, layout), np.array([at.get(e, 0) for e in exits.ends]))
+        assert got.tolist() == boosting.descend(tree, bins, tree.cut, wanted, np.ones(n, bool)).tolist()
+
+
+def test_blocks_are_dealt_out_evenly(spark):
+    table = spark.sparkContext.parallelize(range(24), 6).zipWithIndex()
+    assert [[i for i, _ in part] for part in boosting._dealt(table, 4).glom().collect()] == [list(range(k, 24, 4)) for k in range(4)]
+
+
+def test_sums_of_pickled_rows_take_the_fast_way():
+    """numpy adds at places ten times slower and more where an array's type is not its own instance, as after pickling."""
+    import pickle
+    import time
+
+    draw = np.random.default_rng(3)
+    layout = boosting._layout([64, 64], 4096)
+    cells, slopes = boosting._pack(draw.integers(0, 64, (2, 200_000)), layout), draw.random(200_000) + 1j
+
+    def took(slopes):
+        tables, times = boosting._Tables(layout, 1), []
+        for _ in range(3):
+            start = time.perf_counter()
+            tables.add(cells, np.zeros(200_000, np.uint8), None, slopes)
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    assert took(pickle.loads(pickle.dumps(slopes, 5))) < 5 * took(slopes)
